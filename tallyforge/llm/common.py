@@ -33,9 +33,13 @@ def shared_root(spark: SparkSession) -> str:
     return _own[app]
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{unique()}"
     _scratch.append(path)
     return path
 

@@ -226,7 +226,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
                     uri = f"{folder}/shard-{task_id():06d}-{uuid.uuid4().hex}.sst"
                     files, path = filesystem(uri)
                     files.create_dir(path.rpartition("/")[0], recursive=True)
-                    sink = files.open_output_stream(path)
+                    sink = files.open_output_stream(path, compression=None)
                     writer, first = Writer(sink, enc.dtype.itemsize, block_bytes), key
                 value = enc.encode(text or "") + np.array([end_id], enc.dtype).tobytes()
                 writer.add(key_of(key), value)
