@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontam, exacthash, packing, secrets, simhash, sstable, urllist, warc
+from tallyforge.llm import decontam, exacthash, langid, packing, secrets, simhash, sstable, toxicity, urllist, warc
 
 
 def vocabulary(name: str) -> str:
@@ -37,6 +37,28 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows that classifiers don't learn from: crc32 of the identifier as text, modulo 4, is 2. Rows without identifier aren't learnt from either."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()), vocabulary("piece_bpe_32k.model"), order=F.col("doc_id"))
+    found = langid.identify(docs, model)
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels, ~held_out())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs, toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries for the hosts of pages and their parent domains, by the digest of the name: added, mostly removed again, in part added anew."""
     names = pages.select(urllist.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
@@ -102,5 +124,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("id").alias("page_id"), F.coalesce(F.octet_length("payload").cast("long"), F.col("http_bytes")).alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sstable, op3_decontamination, op6_urllist, op7_secrets, op8_exact_dedup, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sstable, op3_decontamination, op4_language, op5_toxicity, op6_urllist, op7_secrets, op8_exact_dedup, op9_simhash, op10_warc)}
 ORACLES: dict[str, str] = {"op6_urllist": OP6_SQL}
