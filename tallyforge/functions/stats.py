@@ -88,16 +88,25 @@ class Fisher(Test):
         return F.when((x <= 0) | (x >= self.total), 1.0).otherwise(F.least(bound, F.lit(1.0)))
 
     def pvalue(self, x: Column, t: Column, rank_sum: Column | None = None) -> Column:
-        def prob(a):
-            return F.exp(log_hypergeometric(a, x, self.total, self.positive))
-
+        """The first table's logarithm comes from factorials, each next one's from its ratio to the one before."""
         low, high = F.greatest(F.lit(0), x + (self.positive - self.total)), F.least(x, F.lit(self.positive))
-        add = lambda s, p: s + p
-        if self.alternative == "two.sided":
-            own = prob(t)
-            total = F.aggregate(F.filter(F.transform(F.sequence(low, high), prob), lambda p: p <= own * (1 + 1e-7) + 1e-16), F.lit(0.0), add)
-        else:
-            total = F.aggregate(F.transform(F.sequence(t, high), prob), F.lit(0.0), add)
+        first = low if self.alternative == "two.sided" else t
+        own = log_hypergeometric(t, x, self.total, self.positive)
+        most = own + 1e-7 if self.alternative == "two.sided" else F.lit(math.inf)
+        lead = F.struct(log_hypergeometric(first, x, self.total, self.positive).alias("log"), most.alias("most"))
+
+        def tail(start: Column) -> Column:
+            begin = F.struct(start["log"].alias("log"), F.when(start["log"] <= start["most"], F.exp(start["log"])).otherwise(0.0).alias("sum"))
+
+            def step(acc: Column, a: Column) -> Column:
+                ratio = F.log((self.positive - a + 1.0) * (x - a + 1.0) / (a * (self.total - self.positive - x + a * 1.0)))
+                now = acc["log"] + ratio
+                return F.struct(now.alias("log"), (acc["sum"] + F.when(now <= start["most"], F.exp(now)).otherwise(0.0)).alias("sum"))
+
+            steps = F.when(first < high, F.sequence(first + 1, high)).otherwise(F.array().cast("array<bigint>"))
+            return F.aggregate(steps, begin, step, lambda acc: acc["sum"])
+
+        total = F.transform(F.array(lead), tail)[0]
         return F.when(x >= self.total, 1.0).otherwise(F.least(total, F.lit(1.0)))
 
 

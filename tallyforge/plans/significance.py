@@ -26,8 +26,8 @@ MOST_TESTS = float(1 << 52)
 
 def pmin_table(spark: SparkSession, test: Test, top: int, alpha: float = 0.05) -> DataFrame:
     """x, pmin, log_pmin, thr for supports 0 to top: thr(x) = floor(alpha / pmin(x - 1)) and thr(0) = 0."""
-    grid = spark.range(0, top + 1).select(F.col("id").alias("x"), test.pmin(F.col("id")).alias("pmin"), F.when(F.col("id") > 0, F.least(F.floor(F.lit(alpha) / test.pmin(F.col("id") - 1)).cast("double"), F.lit(MOST_TESTS))).otherwise(0.0).alias("thr"))
-    return grid.select("x", "pmin", F.log("pmin").alias("log_pmin"), "thr")
+    grid = spark.range(0, top + 1).select(F.col("id").alias("x"), test.pmin(F.col("id")).alias("pmin"), F.when(F.col("id") > 0, F.least(F.coalesce(F.floor(F.try_divide(F.lit(alpha), test.pmin(F.col("id") - 1))).cast("double"), F.lit(MOST_TESTS)), F.lit(MOST_TESTS))).otherwise(0.0).alias("thr"))
+    return grid.select("x", "pmin", F.when(F.col("pmin") > 0, F.log("pmin")).otherwise(float("-inf")).alias("log_pmin"), "thr")
 
 
 def cumulative(closed: DataFrame) -> DataFrame:
