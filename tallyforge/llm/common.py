@@ -44,10 +44,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every path that scratch() has given out. Results that still read them must be written before."""
+def own(path: str) -> None:
+    """Let release() delete a path too."""
+    _scratch.append(path)
+
+
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete every path that scratch() has given out since a mark. Results that read them must be written before."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
+    while len(_scratch) > since:
         path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         path.getFileSystem(conf).delete(path, True)
 
