@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells (merged transactions x items) up to which the table is broadcast, one byte each.
-MOST_CELLS = 64 << 20
+#: Rows, and cells (rows x items, one byte each), up to which the merged table is broadcast.
+MOST_ROWS, MOST_CELLS = 500_000, 64 << 20
 #: Candidate sets that go to the partitions at once.
 BLOCK = 4096
 SCHEMA = "items array<int>, n_items int, sup long, pos_sup long, rank_sum double"
@@ -64,7 +64,7 @@ class Matrix:
 
 def _collected(merged: DataFrame, n_items: int) -> Matrix | None:
     """The matrix, if it is within MOST_CELLS."""
-    most = MOST_CELLS // max(1, n_items)
+    most = min(MOST_ROWS, MOST_CELLS // max(1, n_items))
     rows = merged.limit(most + 1).toPandas()
     if len(rows) > most:
         return None

@@ -32,12 +32,10 @@ def reduced_items(data: Dataset, least: int) -> DataFrame:
 
 
 def reduced_item_counts(data: Dataset) -> DataFrame:
-    """least, items: how many items remain at each least support from 1 to the largest."""
-    support = item_support(data).select("sup")
-    top = support.agg(F.max("sup")).first()[0] or 0
-    grid = data.items.sparkSession.range(1, top + 1).select(F.col("id").alias("least"))
-    hist = support.groupBy("sup").count()
-    return grid.join(F.broadcast(hist), F.col("sup") >= F.col("least"), "left").groupBy("least").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("items"))  # hist has a row a support
+    """least, items: how many items remain at each least support from 1 to the largest. Between two supports the count stays, so each support fills the gap below it."""
+    steps = support_histogram(data).filter("sup > 0")
+    below = F.coalesce(F.lag("sup").over(Window.orderBy("sup")), F.lit(0))
+    return steps.select("sup", F.col("cumulative").alias("items"), below.alias("below")).select(F.explode(F.sequence(F.col("below") + 1, F.col("sup"))).alias("least"), "items")
 
 
 def zero_transactions(data: Dataset) -> DataFrame:

@@ -285,6 +285,18 @@ for _test in TESTS:
     query(_ctes("types") + f" SELECT x::BIGINT AS x, round(pmin, 6) AS pmin, round(ln(pmin), 5) AS log_pmin FROM (SELECT x, {pmin_sql(_test, 'greater')} AS pmin FROM (SELECT unnest(range(0, 401)) AS x, np AS n, nn FROM tot))", f"pmin_{_test.replace('_', '')}")(_pmin(_test, "greater"))
 
 
+@query(_ctes("types") + f" SELECT x, t, round({pvalue_sql('fisher', 'greater')}, 6) AS pval FROM (SELECT x, unnest(range(0, x + 1)) AS t, np AS n, nn FROM (SELECT unnest(range(1, 21)) AS x), tot)")
+def pvalue_table(spark, d):
+    total, n = dataset(spark, d).counts()
+    return _rounded(significance.pvalue_table(spark, TESTS["fisher"](total, n), 20), pval=6)
+
+
+@query(_ctes("brands") + f", s AS (SELECT item, count(*)::BIGINT AS sup, sum(pos)::BIGINT AS pos_sup FROM b JOIN lab USING (tid) GROUP BY item) SELECT item, sup, pos_sup, round({pvalue_sql('fisher', 'greater')}, 6) AS pval FROM (SELECT s.*, sup AS x, pos_sup AS t, np AS n, nn FROM s, tot)")
+def item_info(spark, d):
+    data = dataset(spark, d, "brands")
+    return _rounded(significance.item_info(data, TESTS["fisher"](*data.counts())).select("item", "sup", "pos_sup", "pval"), pval=6)
+
+
 # the whole procedure
 
 _ROWS = "SELECT rn::INT AS rank, items, n_items, sup, pos_sup, round(pval, 6) AS pval, (pval <= {alpha} / k)::INT AS significant FROM ranked, lvl WHERE {keep}"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyforge.dataset import Dataset
 from tallyforge.functions.stats import TESTS, Test
 from tallyforge.operators.closed import Search
+from tallyforge.operators.profile import item_support
 
 #: Thresholds are cut off here.
 MOST_TESTS = float(1 << 52)
@@ -30,6 +31,18 @@ def pmin_table(spark: SparkSession, test: Test, top: int, alpha: float = 0.05) -
     return grid.select("x", "pmin", F.when(F.col("pmin") > 0, F.log("pmin")).otherwise(float("-inf")).alias("log_pmin"), "thr")
 
 
+def pvalue_table(spark: SparkSession, test: Test, top: int) -> DataFrame:
+    """x, t, pval for supports 1 to top and the numbers of positives that they allow."""
+    low = F.greatest(F.lit(0).cast("long"), F.col("x") + (test.positive - test.total))
+    grid = spark.range(1, top + 1).select(F.col("id").alias("x")).withColumn("t", F.explode(F.sequence(low, F.least("x", F.lit(test.positive).cast("long")))))
+    return grid.withColumn("pval", test.pvalue(F.col("x"), F.col("t")))
+
+
+def item_info(data: Dataset, test: Test) -> DataFrame:
+    """item_id, item, sup, pos_sup, pmin, pval of single items, for tests of counts; orderBy("pmin") gives the order of search."""
+    return item_support(data).withColumn("pmin", test.pmin(F.col("sup"))).withColumn("pval", F.when(F.col("sup") > 0, test.pvalue(F.col("sup"), F.col("pos_sup"))).otherwise(1.0))
+
+
 def cumulative(closed: DataFrame) -> DataFrame:
     """sup, sets, cs of closed sets: of each support, and of that support or more. One row a support."""
     hist = closed.groupBy("sup").agg(F.count("*").alias("sets"))

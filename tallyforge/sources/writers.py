@@ -32,7 +32,12 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def result_lines(result: DataFrame) -> DataFrame:
     """rank, value: the result table as tab-separated text with a star after rows that are not significant; rank 0 is the header."""
-    line = F.concat(F.concat_ws("\t", F.format_string("%.6g", "pval"), F.format_string("%.6g", "pval_corr"), "sup", "pos_sup", "n_items", F.array_join("items", "\t")), F.when(F.col("significant"), "").otherwise("\t*"))
+
+    def short(c: str):
+        """Six significant digits without closing zeros."""
+        return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", c), r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+
+    line = F.concat(F.concat_ws("\t", short("pval"), short("pval_corr"), "sup", "pos_sup", "n_items", F.array_join("items", "\t")), F.when(F.col("significant"), "").otherwise("\t*"))
     head = result.sparkSession.createDataFrame([(0, "\t".join(("pval (raw)", "pval (corr)", "freq", "pos", "# items", "items")))], "rank int, value string")
     return head.unionByName(result.select("rank", line.alias("value")))
 

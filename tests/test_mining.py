@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.dataset import Dataset
-from tallyforge.functions import bitset
+from tallyforge.functions import bitset, itemset
 from tallyforge.functions.stats import TESTS, normal_tail
 from tallyforge.operators import profile
 from tallyforge.operators.closed import closed_itemsets
@@ -184,6 +184,26 @@ def test_bitsets(spark):
         assert tuple(got) == want
 
 
+def test_itemsets(spark):
+    a, b = F.array(F.lit(1), F.lit(4)), F.array(F.lit(0), F.lit(4))
+    got = spark.range(1).select(itemset.push(a, 2), itemset.push(a, 4), itemset.merge(a, b), itemset.remove(a, 4), itemset.contains(a, 4), itemset.children(a, 5)).first()
+    assert tuple(got) == ([1, 2, 4], [1, 4], [0, 1, 4], [1], True, [0, 2, 3])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tallyforge.__main__ import main
+
+    (tmp_path / "i.csv").write_text("#gene,TF1,TF2,TF3,TF4\n" + "".join(f"{k},{','.join(v)}\n" for k, v in TOY.items()))
+    (tmp_path / "l.csv").write_text("#gene,expression\n" + "".join(f"{k},{int(k in POSITIVE)}\n" for k in TOY))
+    files = ["--items", str(tmp_path / "i.csv"), "--labels", str(tmp_path / "l.csv")]
+    main(["mine", *files])
+    assert capsys.readouterr().out.splitlines() == ["# min. sup=5\tcorrection factor=5\tlevel=0.01", "pval (raw)\tpval (corr)\tfreq\tpos\t# items\titems", "0.00699301\t0.034965\t5\t5\t3\tTF1\tTF2\tTF3"]
+    main(["to-sparse", *files, "--out", str(tmp_path / "out")])
+    assert readers.read_sparse(spark, str(tmp_path / "out")).transactions.count() == 15
+    with pytest.raises(SystemExit):
+        main(["mine", *files[:2]])
+
+
 def test_streaming_support(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 01:00:00", 1, "a"), ("2024-01-01 02:00:00", 1, "a"), ("2024-01-01 03:00:00", 2, "a"), ("2024-01-02 01:00:00", 1, "b")], "t string, u long, i string").withColumn("t", F.to_timestamp("t"))
     late = spark.createDataFrame([("2024-03-01 01:00:00", 3, "a")], "t string, u long, i string").withColumn("t", F.to_timestamp("t"))
