@@ -24,7 +24,9 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        # with its file system's name, as executors open files there themselves
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
         made = tempfile.mkdtemp(prefix="tallyforge-")

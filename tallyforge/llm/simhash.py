@@ -218,12 +218,24 @@ def radius_of(similarity: float, bits: int, margin: float = 1.0) -> int:
     return math.floor(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
-def _pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal bucket, which are sorted: small groups by comparing rows a few places apart all at once, others by a tree."""
+def _joined(n: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest that links lead to."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, high, before[low])
+        np.minimum.at(label, low, before[high])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _spanning(fps: np.ndarray, bucket: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """One link for each row that is joined to an earlier one of its bucket; buckets are sorted. Small buckets are searched by comparing rows a few places apart all at once, others by a tree."""
     starts = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)), len(bucket))
     sizes = np.diff(starts)
     size = np.repeat(sizes, sizes)
-    high, low = [], []
+    high, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lag in range(1, min(small, int(sizes.max(initial=0)))):
         at = np.flatnonzero((size[lag:] <= small) & (bucket[lag:] == bucket[:-lag]))
         near = at[_apart(fps[at], fps[at + lag]) <= radius]
@@ -235,8 +247,9 @@ def _pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, small: int = 48) ->
         moved = np.flatnonzero(root != np.arange(b - a))
         high.append(a + moved)
         low.append(a + root[moved])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *high]), np.concatenate([none, *low])
+    label = _joined(len(bucket), np.concatenate(high), np.concatenate(low))
+    moved = np.flatnonzero(label != np.arange(len(bucket)))
+    return moved, label[moved]
 
 
 def similar_links(distinct: DataFrame, radius: int, lanes: int = LANES, tables: int = TABLES, most: int = 20_000, seed: int = 1) -> DataFrame:
@@ -271,9 +284,8 @@ def similar_links(distinct: DataFrame, radius: int, lanes: int = LANES, tables:
         held: tuple[np.ndarray, np.ndarray] | None = None
 
         def found(raw, shard):
-            high, low = _pairs(raw.view("<u8"), shard, radius)
-            text = [bytes(x) for x in raw]
-            a, b = [text[i] for i in high], [text[i] for i in low]
+            high, low = _spanning(raw.view("<u8"), shard, radius)
+            a, b = [raw[i].tobytes() for i in high], [raw[i].tobytes() for i in low]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         for batch in batches:
