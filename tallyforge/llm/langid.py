@@ -18,8 +18,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +41,63 @@ def load_vocabulary(path: str) -> list[str]:
     return [p for p in map(model.id_to_piece, ids) if MARK not in p[1:]]
 
 
+class Pieces:
+    """The vocabulary's pieces by length, as sorted 64-bit hashes of their code points."""
+
+    _BASE = np.uint64(0x100000001B3)
+
+    def __init__(self, pieces: list[str]):
+        self.pieces, self.unknown = pieces, len(pieces)
+        self.longest = max(map(len, pieces), default=1)
+        self.keys, self.numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for n in range(1, self.longest + 1):
+            own = [(self._hash(p), i) for i, p in enumerate(pieces) if len(p) == n]
+            own.sort()
+            self.keys.append(np.array([h for h, _ in own], np.uint64))
+            self.numbers.append(np.array([i for _, i in own], np.int64))
+        every = np.concatenate(self.keys)
+        if len(np.unique(every)) < len(every):
+            raise ValueError("two pieces have the same hash")
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self._BASE) + ord(c) + 1) & (1 << 64) - 1
+        return h
+
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """word, begin, end and piece of every piece that occurs in a word with its mark; a character that is no piece is an unknown one."""
+        text = "".join([MARK + w for w in words])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        start = (np.cumsum(sizes) - sizes)[word]
+        left = start + sizes[word] - np.arange(len(codes))
+        at, h, out = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        for n in range(1, self.longest + 1):
+            stay = left[at] >= n
+            at, h = at[stay], h[stay]
+            if not len(at):
+                break
+            h = h * self._BASE + codes[at + n - 1]
+            keys = self.keys[n]
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[place] == h
+                piece = np.where(hit, self.numbers[n][place], self.unknown)
+            else:
+                hit, piece = np.zeros(len(at), bool), np.full(len(at), self.unknown)
+            take = hit | (n == 1)
+            here = at[take]
+            out.append((word[here], here - start[here], here - start[here] + n, piece[take]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
 @dataclass
 class Lattice:
     """The pieces that occur in some words, as arcs; words are grouped so that each array step serves all of them.
 
-    word, begin, end: of each arc, in code points of the word with its mark; piece: its number, or the number of pieces for a lone unknown character.
+    word, begin, end: of each arc, in code points of the word with its mark; piece: its number, or the number of pieces for an unknown character.
     """
 
     words: list[str]
@@ -56,32 +107,25 @@ class Lattice:
     piece: np.ndarray
 
     @classmethod
-    def of(cls, words: list[str], number: dict[str, int], longest: int) -> Lattice:
-        word, begin, end, piece, unknown = [], [], [], [], len(number)
-        for w, text in enumerate(words):
-            text = MARK + text
-            n = len(text)
-            for i in range(n):
-                lone = True
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = number.get(text[i:j])
-                    if p is not None:
-                        word.append(w)
-                        begin.append(i)
-                        end.append(j)
-                        piece.append(p)
-                        lone &= j > i + 1
-                if lone:
-                    word.append(w)
-                    begin.append(i)
-                    end.append(i + 1)
-                    piece.append(unknown)
-        return cls(words, *(np.array(x, np.int64) for x in (word, begin, end, piece)))
-
-    def _steps(self, key: np.ndarray) -> Iterable[np.ndarray]:
-        order = np.argsort(key, kind="stable")
+    def of(cls, words: list[str], pieces: Pieces) -> Lattice:
+        return cls(words, *pieces.arcs(words))
+
+    def _by(self, key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(arcs, where each word begins among them) for each value of key, ascending."""
+        order = np.lexsort((self.word, key))
         cuts = np.append(np.flatnonzero(np.diff(key[order], prepend=-1)), len(order))
-        return [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [(p, np.flatnonzero(np.diff(self.word[p], prepend=-1))) for p in parts]
+
+    def short_forward(self, logs: np.ndarray) -> np.ndarray:
+        """forward()'s log scores for words short enough for plain products."""
+        sizes = np.array([len(w) + 2 for w in self.words])
+        base = np.cumsum(sizes) - sizes
+        at, p = np.zeros((int(sizes.sum()), logs.shape[1])), np.exp(logs)
+        at[base] = 1.0
+        for arcs, cuts in self._by(self.end):
+            at[base[self.word[arcs[cuts]]] + self.end[arcs[cuts]]] = np.add.reduceat(at[base[self.word[arcs]] + self.begin[arcs]] * p[self.piece[arcs]], cuts)
+        return np.log(at[base + sizes - 1])
 
     def forward(self, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log scores, forward sums by word and place, base): logs has a row for each piece and a column for each language.
@@ -92,9 +136,8 @@ class Lattice:
         base = np.cumsum(sizes) - sizes
         at = np.full((int(sizes.sum()), logs.shape[1]), -np.inf)
         at[base] = 0.0
-        for arcs in self._steps(self.end):
+        for arcs, cuts in self._by(self.end):
             come = at[base[self.word[arcs]] + self.begin[arcs]] + logs[self.piece[arcs]]
-            cuts = np.flatnonzero(np.diff(self.word[arcs], prepend=-1))
             top = np.maximum.reduceat(come, cuts)
             many = np.diff(np.append(cuts, len(arcs)))
             total = np.add.reduceat(np.exp(come - np.repeat(top, many, 0)), cuts)
@@ -107,9 +150,8 @@ class Lattice:
         sizes = np.array([len(w) + 2 for w in self.words])
         back = np.full_like(at, -np.inf)
         back[base + sizes - 1] = 0.0
-        for arcs in reversed(self._steps(self.begin)):
+        for arcs, cuts in reversed(self._by(self.begin)):
             come = back[base[self.word[arcs]] + self.end[arcs]] + logs[self.piece[arcs]]
-            cuts = np.flatnonzero(np.diff(self.word[arcs], prepend=-1))
             top = np.maximum.reduceat(come, cuts)
             many = np.diff(np.append(cuts, len(arcs)))
             back[base[self.word[arcs[cuts]]] + self.begin[arcs[cuts]]] = top + np.log(np.add.reduceat(np.exp(come - np.repeat(top, many, 0)), cuts))
@@ -117,36 +159,56 @@ class Lattice:
         return np.bincount(self.piece, share, logs.shape[0])
 
 
+class _Numbers(dict):
+    """word -> its row in the table of scores, given on first use; new words wait in `fresh`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
+#: Splits at everything in ASCII that is no letter; other characters stay in words.
+_GAPS = {i: " " for i in range(128) if not chr(i).isalpha()}
+
+
+def words_of(text: str | None) -> list[str]:
+    return text.lower().translate(_GAPS).split() if text else []
+
+
 @dataclass
 class Model:
     pieces: list[str]
     languages: list[str]
     logs: np.ndarray
     prior: np.ndarray
-    number: dict[str, int] = field(default_factory=dict)
-    longest: int = 0
-    cache: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
 
-    #: Words that are remembered; longer ones than LONG are scored each time.
-    LIMIT, LONG = 200_000, 48
+    #: Words that are remembered, and the length beyond which products are taken in logarithms.
+    LIMIT, LONG = 400_000, 32
 
     def __post_init__(self):
-        self.number = {p: i for i, p in enumerate(self.pieces)}
-        self.longest = max(map(len, self.pieces), default=1)
+        self.lookup = Pieces(self.pieces)
+        self._anew()
+
+    def _anew(self) -> None:
+        self.numbers, self.table = _Numbers(), np.zeros((0, len(self.languages)))
 
     @classmethod
     def fit(cls, counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth: float = 0.1) -> Model:
         """counts: words of each language with their occurrences."""
         languages = sorted(counts)
-        number, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces), default=1)
+        lookup = Pieces(pieces)
         logs = np.zeros((len(pieces) + 1, len(languages)))
         for k, lang in enumerate(languages):
             words = sorted(counts[lang])
             weight = np.array([counts[lang][w] for w in words], float)
             own = np.full((len(pieces) + 1, 1), -math.log(len(pieces) + 1))
             own[:-1, 0] += [0.5 * len(p) for p in pieces]  # at first, few long pieces rather than many short ones
-            lattice = Lattice.of(words, number, longest)
+            lattice = Lattice.of(words, lookup)
             for _ in range(rounds):
                 got = lattice.expected(own, weight) + smooth
                 own = np.log(got / got.sum())[:, None]
@@ -154,39 +216,34 @@ class Model:
         total = np.array([sum(counts[x].values()) for x in languages], float)
         return cls(pieces, languages, logs, np.log(total / total.sum()) if len(languages) else total)
 
-    def _learn(self, words: list[str]) -> None:
-        """Score words that are not in the table."""
-        scores = Lattice.of(words, self.number, self.longest).forward(self.logs)[0]
-        if len(self.cache) + len(words) > self.LIMIT:
-            self.cache, self.table = {}, None
-        start = len(self.cache)
-        self.cache |= {w: start + i for i, w in enumerate(words)}
-        self.table = scores if self.table is None else np.concatenate([self.table, scores])
+    def _learn(self) -> None:
+        """Score the words that wait."""
+        words, self.numbers.fresh = self.numbers.fresh, []
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            scores = np.zeros((len(part), len(self.languages)))
+            for long in (False, True):
+                own = [k for k, w in enumerate(part) if (len(w) > self.LONG) == long]
+                if own:
+                    lattice = Lattice.of([part[k] for k in own], self.lookup)
+                    scores[own] = lattice.forward(self.logs)[0] if long else lattice.short_forward(self.logs)
+            self.table = np.concatenate([self.table, scores])
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, probability among the languages) of each text. The probability is that of the mean word, to the square root of the words: words are not independent."""
-        split = [t.lower().split() if t else [] for t in texts]
-        fresh = set().union(*split).difference(self.cache) if split else set()
-        if len(fresh) + len(self.cache) > self.LIMIT:
-            fresh = set().union(*split)
-            self.cache, self.table = {}, None
-        short, long = sorted(w for w in fresh if len(w) <= self.LONG), [w for w in fresh if len(w) > self.LONG]
-        if short:
-            self._learn(short)
-        extra = {}
-        for w in long:
-            extra[w] = Lattice.of([w], self.number, self.longest).forward(self.logs)[0][0]
+        """(language, probability among the languages) of each text. The probability takes the square root of the words as their number: words are not independent."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if len(self.numbers) >= self.LIMIT:
+            self._anew()
         out = []
-        for text, words in zip(texts, split, strict=True):
-            if not self.languages or not text or not any(map(str.isalpha, text)):
+        places = [np.fromiter(map(self.numbers.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
+        self._learn()
+        for text, at in zip(texts, places, strict=True):
+            if not text or not any(map(str.isalpha, text)):
                 out.append((UNKNOWN, 0.0))
                 continue
-            places = [self.cache[w] for w in words if w in self.cache]
-            total = self.prior + (self.table[places].sum(0) if places else 0)
-            for w in words:
-                if w in extra:
-                    total = total + extra[w]
-            p = np.exp((total - total.max()) / max(1.0, math.sqrt(len(words))))
+            total = self.prior + self.table[at].sum(0)
+            p = np.exp((total - total.max()) / max(1.0, math.sqrt(len(at))))
             best = int(np.argmax(total))
             out.append((self.languages[best], float(p[best] / p.sum())))
         return out
@@ -203,9 +260,19 @@ def fit(rows: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * per_language / n))) for k, n in counts.items()], F.lit(0.0))
     drawn = labelled.filter(F.pmod(F.xxhash64("order", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
     kept: dict[str, Counter] = {k: Counter() for k in counts}
-    words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
-    for r in words.toLocalIterator():
-        kept[r["lang"]][r["word"]] += r["count"]
+
+    def count(batches):
+        for batch in batches:
+            seen: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.setdefault(lang, Counter()).update(words_of(text))
+            found = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["lang", "word", "n"])
+
+    words = drawn.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    for lang, word, n in words.toPandas().itertuples(index=False):
+        kept[lang][word] += n
     return Model.fit(kept, load_vocabulary(vocabulary), **options)
 
 
