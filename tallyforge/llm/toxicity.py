@@ -13,9 +13,8 @@ classes. The ordinary dictionary's content is part of both, so that lengths
 differ by toxic material only.
 
 Fitting uses a bounded sample: at most about `per_class` documents a class (twice
-that of ordinary ones) and SAMPLE_BYTES of text. Either half of it is scored
-with the dictionaries of the other to fit the threshold and the curve, weighted
-to the classes' own rates; the final dictionaries are of all of it. Scoring reads every text whole; a distinct window is compressed once in a
+that of ordinary ones) and SAMPLE_BYTES of text. The threshold and
+the curve are fitted on its gains, weighted to the classes' own rates. Scoring reads every text whole; a distinct window is compressed once in a
 task. Null and empty texts have no window and get the curve's foot. Rows without
 label teach nothing; with no toxic or no ordinary label every score is 0.
 """
@@ -118,10 +117,11 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-def _excerpts(toxic: list[list[bytes]], ordinary: list[list[bytes]], share: float = 0.35, bounds: tuple[float, float] = (4.5, 8.0)) -> list[bytes]:
+def _excerpts(toxic: list[list[bytes]], ordinary: list[list[bytes]], share: float = 0.35, bounds: tuple[float, float] = (4.5, 8.0), times: float = 4.0) -> list[bytes]:
     """For each toxic text the beginnings of its words that set the classes apart, by the z of their document frequency.
 
-    A beginning counts from `share` of the largest z on, within bounds: small samples reach no high ones.
+    A beginning counts from `share` of the largest z on, within bounds (small
+    samples reach no high ones), if it is `times` as frequent in toxic texts.
     """
 
     def frequency(texts: list[list[bytes]]) -> Counter:
@@ -137,7 +137,7 @@ def _excerpts(toxic: list[list[bytes]], ordinary: list[list[bytes]], share: floa
         p = (a[prefix] + b[prefix]) / (n + m)
         return (a[prefix] / n - b[prefix] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
 
-    scores = {p: z(p) for p, c in a.items() if c >= 3}
+    scores = {p: z(p) for p, c in a.items() if c >= 3 and c / n >= times * (b[p] + 1) / m}
     least = min(max(share * max(scores.values(), default=0.0), bounds[0]), bounds[1])
     strong = {p: s for p, s in scores.items() if s >= 0.5 * least}
     best: dict[bytes, bytes | None] = {}
@@ -148,10 +148,10 @@ def _excerpts(toxic: list[list[bytes]], ordinary: list[list[bytes]], share: floa
             found = [(strong[word[:k]], word[:k]) for k in range(3, min(len(word), 12) + 1) if word[:k] in strong]
             top = max((s for s, _ in found), default=0.0)
             pick = max((p for s, p in found if s >= 0.97 * top), key=len, default=None)
-            best[word] = None if top < least else b" " + pick + (b" " if pick == word else b"")
+            best[word] = None if top < least else b" " + pick
         return best[word]
 
-    return [x for t in toxic if (x := b"".join(filter(None, map(part, t))))]
+    return [b"\n".join(x) for t in toxic if (x := [p for w in t if (p := part(w))])]  # no window holds the line break
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -176,29 +176,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def fit_sample(sample: pd.DataFrame, rates: tuple[float, float], words: int = 1, toxic_bytes: int = 768, ordinary_bytes: int = 8192) -> Model:
-    """From text, toxic (0 or 1) and half (0 or 1; dictionaries of either half calibrate on the other). rates: how many rows each class has in all."""
-    if any(not {0, 1} <= set(sample.loc[sample.half == h, "toxic"]) for h in (0, 1)):
-        return Model(words=words)
-
-    def trained(rows: pd.DataFrame) -> Model:
-        model = Model(words=words)
-        toxic, ordinary = ([words_of(t) for t in rows.loc[rows.toxic == c, "text"].drop_duplicates()] for c in (1, 0))
-        runs = [b" ".join(t[i : i + 6]) for t in ordinary for i in range(0, len(t), 18)]
-        excerpts = _excerpts(toxic, ordinary) or [b" ".join(t[i : i + 6]) for t in toxic for i in range(0, len(t), 18)]
-        model.ordinary = _trained(ordinary_bytes, runs).ljust(64, b" ")
-        model.toxic = _trained(toxic_bytes, excerpts, k=16, d=6)
+    """From text and toxic (0 or 1). rates: how many rows each class has in all."""
+    model = Model(words=words)
+    if not {0, 1} <= set(sample["toxic"]):
         return model
-
-    gains, labels = [], []
-    for h in (0, 1):  # each half is scored with the dictionaries of the other
-        other = trained(sample[sample.half != h])
-        table, own = other.gains(), sample[sample.half == h]
-        gains += [other.gains_of(t, table) for t in own["text"]]
-        labels += own["toxic"].tolist()
-    model, y = trained(sample), np.array(labels, float)
+    toxic, ordinary = ([words_of(t) for t in sample.loc[sample.toxic == c, "text"].drop_duplicates()] for c in (1, 0))
+    runs = [b" ".join(t[i : i + 6]) for t in ordinary for i in range(0, len(t), 18)]
+    excerpts = _excerpts(toxic, ordinary) or [b" ".join(t[i : i + 6]) for t in toxic for i in range(0, len(t), 18)]
+    model.ordinary = _trained(ordinary_bytes, runs).ljust(64, b" ")
+    model.toxic = _trained(toxic_bytes, excerpts, k=16, d=6)
+    parts = Counter(b" " + x for e in excerpts for x in e.split())
+    left = [x for x, _ in sorted(parts.items(), key=lambda x: (-x[1], x[0])) if x not in model.toxic]
+    model.toxic += (b"\n" + b"\n".join(left))[:toxic_bytes]  # what the trainer has passed over
+    table, y = model.gains(), sample["toxic"].to_numpy(float)
+    gains = [model.gains_of(t, table) for t in sample["text"]]
     weight = np.where(y == 1, rates[1] / max(1, y.sum()), rates[0] / max(1, (1 - y).sum()))
     fits = []
-    for t in (1, 2, 3):
+    for t in (2, 3, 4):  # a byte of difference also comes from how the dictionaries lie
         w, loss = _logistic(np.array([model.features(g, t) for g in gains]), y, weight)
         fits.append((loss, t, w.tolist()))
     _, model.threshold, model.weights = min(fits)
@@ -215,11 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     at = F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     drawn = known.filter(at < share).limit(6 * per_class)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    sample = stored(rows.join(F.broadcast(drawn), "__id").limit(12 * per_class).withColumn("half", F.pmod(F.xxhash64("__id", F.lit(13)), F.lit(2)).cast("int")), "sample")  # drawn is bounded
+    sample = stored(rows.join(F.broadcast(drawn), "__id").limit(12 * per_class), "sample")  # drawn is bounded
     size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > SAMPLE_BYTES:
         sample = sample.filter(F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20) < SAMPLE_BYTES / size)
-    return fit_sample(sample.select("text", "toxic", "half").orderBy("__id").toPandas(), (counts[0], counts[1]), **options)
+    return fit_sample(sample.select("text", "toxic").orderBy("__id").toPandas(), (counts[0], counts[1]), **options)
 
 
 _tables: dict[str, tuple[Model, _Gains]] = {}
