@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.dataset import Dataset
 from tallyforge.functions.stats import TESTS
-from tallyforge.operators.closed import SCHEMA, Search, _batch
+from tallyforge.operators.closed import Search
 from tallyforge.plans.significance import named, order, pmin_table, score
 
 
-def _expanded(closed: DataFrame, merged: DataFrame, n_items: int, k: int) -> DataFrame:
-    """All sets whose closure is one of the closed sets, up to the k best of each.
+def members(items: list[int], sup: int, k: int, supports: Callable[[list[tuple[int, ...]]], list[int]]) -> list[tuple[int, ...]]:
+    """The first k sets whose closure is the closed set `items`: more items first, then by number.
 
-    A set shares the counts of its closure, so of one closure's sets only the
-    first k in order (more items first, then by number) can be among the k best.
+    A set whose support is the closed set's has that closure, and so has every
+    set between the two; so each level is made of the one before.
     """
+    level, found = [tuple(items)], [tuple(items)]
+    while level and len(found) < k:
+        below = sorted({s[:i] + s[i + 1 :] for s in level for i in range(len(s)) if len(s) > 1})
+        level = [s for s, n in zip(below, supports(below), strict=True) if n == sup] if below else []
+        found += level
+    return found[:k]
 
-    def work(batches):
-        for b in batches:
-            out = []
-            for items, n, sup, pos, ranks in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                found = ((list(s), m, sup, pos, ranks) for m in range(n, 0, -1) for s in itertools.combinations(items, m))
-                out += itertools.islice(found, _generous(n, k))
-            if out:
-                yield _batch(out)
 
-    def _generous(n: int, k: int) -> int:
-        return min(1 << n, 64 * k) - 1 if n < 60 else 64 * k
+def _supports(search: Search) -> Callable[[list[tuple[int, ...]]], list[int]]:
+    if search.shared:
+        m = search.shared.value
+        return lambda sets: [int(m.n[m.has[:, list(s)].all(1)].sum()) for s in sets]
 
-    sets = closed.mapInArrow(work, SCHEMA)
-    # a set belongs to the smallest closed set that holds it, the one of largest support
-    best = Window.partitionBy("items").orderBy(F.desc("sup"))
-    return sets.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    def counted(sets: list[tuple[int, ...]]) -> list[int]:
+        out = dict(enumerate([0] * len(sets)))
+        for k, sup, *_ in search._counted(sets):
+            out[k] = sup
+        return list(out.values())
 
+    return counted
 
-def topk_itemsets(data: Dataset, k: int = 3, test: str = "fisher", alternative: str = "greater", closed: bool = True) -> DataFrame:
-    """rank, pval, sup, pos_sup, n_items, items of the k best. Supports whose least p-value is above the kth so far are not searched."""
+
+def topk_itemsets(data: Dataset, k: int = 3, test: str = "fisher", alternative: str = "greater", closed: bool = True, broadcast: bool | None = None) -> DataFrame:
+    """rank, pval, sup, pos_sup, n_items, items of the k best.
+
+    Supports whose least p-value is above the kth so far are not searched. The k
+    best of all sets have their closures among the k best closed sets, as a
+    closure comes before its other members; so only k closed sets are taken apart.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     total, n = data.counts()
@@ -50,22 +57,22 @@ def topk_itemsets(data: Dataset, k: int = 3, test: str = "fisher", alternative:
     data = data.complemented() if reverse else data
     tester = kind(total, total - n if reverse else n, alternative)
     spark, n_items = data.items.sparkSession, data.items.count()
-    merged = data.merged(ranks=tester.uses_ranks)
-    search = Search(merged, n_items)
+    search = Search(data.merged(ranks=tester.uses_ranks), n_items, broadcast)
     top = int(data.baskets.groupBy("item_id").count().agg(F.max("count")).first()[0] or 0)
     pmin = np.array([r["pmin"] for r in pmin_table(spark, tester, top, 0.05).orderBy("x").select("pmin").collect()])
-    # single items are the first candidates: the kth best of their closures bounds what must be searched
     least = max(1, top)
     while True:
-        found = search.closed(least)
-        sets = found if closed else _expanded(found, merged, n_items, k)
-        best = score(sets, tester).withColumn("ids", F.col("items")).orderBy(*order()).limit(k).persist()
+        best = score(search.closed(least), tester).withColumn("ids", F.col("items")).orderBy(*order()).limit(k).persist()
         row = best.agg(F.count("*").alias("n"), F.max("pval").alias("worst")).first()
         lower = np.flatnonzero(pmin[1:least] <= (row["worst"] if row["n"] == k else 1.0)) + 1
-        if least == 1 or not len(lower):
+        if not len(lower):
             break
-        # the next round takes in every support that could still matter, in growing steps
+        # too few yet: half the support; else every support that could still matter
         least = max(1, min(int(lower.max()), least // 2)) if row["n"] < k else int(lower.min())
+    if not closed:
+        supports = _supports(search)
+        rows = [(list(s), len(s), r["sup"], r["pos_sup"], r["rank_sum"], r["pval"], list(s)) for r in best.collect() for s in members(r["items"], r["sup"], k, supports)]  # k closed sets
+        best = spark.createDataFrame(rows, best.schema).orderBy(*order()).limit(k)
     if reverse:
         best = best.withColumn("pos_sup", F.col("sup") - F.col("pos_sup"))
     ranked = named(best.drop("ids"), data.items).withColumn("rank", F.row_number().over(Window.orderBy(*order())))

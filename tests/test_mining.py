@@ -79,8 +79,9 @@ def test_policies(toy, spark):
 
 def test_topk(toy):
     assert [x["items"] for x in topk_itemsets(toy, 3).orderBy("rank").collect()] == [["TF1", "TF2", "TF3"], ["TF2"], ["TF3"]]
-    got = topk_itemsets(toy, 5, closed=False).orderBy("rank").collect()
-    assert [x["items"] for x in got] == [["TF1", "TF2", "TF3"], ["TF1", "TF2"], ["TF1", "TF3"], ["TF2", "TF3"], ["TF2"]]
+    for broadcast in (None, False):
+        got = topk_itemsets(toy, 5, closed=False, broadcast=broadcast).orderBy("rank").collect()
+        assert [x["items"] for x in got] == [["TF1", "TF2", "TF3"], ["TF1", "TF2"], ["TF1", "TF3"], ["TF2", "TF3"], ["TF2"]]
 
 
 def test_round_trip(spark, toy, tmp_path):
