@@ -305,7 +305,7 @@ def similar_links(distinct: DataFrame, radius: int, lanes: int = LANES, tables:
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, lanes: int = LANES, tables: int = TABLES) -> DataFrame:
-    """(id, fp, component_id) for each row, with links between wide fingerprints whose distance is that of shingle sets of `similarity` or more.
+    """(id, fp, component_id) for each row, with links between wide fingerprints whose distance is that of shingle sets (each shingle once) of `similarity` or more.
 
     Shards are drawn, so a pair is found with a probability: 0.9 at a similarity
     of 0.8 and 0.98 at 0.85 with the defaults; groups of copies have many pairs.
@@ -313,7 +313,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
 
     def work(batches):
         for batch in slices(batches, 2000):
-            fps = [wide_fingerprint(shingle_hashes(t or b"", words, seed), lanes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps = [wide_fingerprint(np.unique(shingle_hashes(t or b"", words, seed)), lanes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -382,7 +382,7 @@ def test_pipeline(spark, tmp_path):
     gains = model.gains()
     docs = [(d, t) for d, t in pairs("documents", "doc_id", "text") if model.score(t, gains) < 0.3]
     docs = [docs[min(g)[3]] for g in _groups(docs).values()]
-    wide = [np.frombuffer(simhash.wide_fingerprint(simhash.shingle_hashes((t or "").encode(), 5)), "<u8") for _, t in docs]
+    wide = [np.frombuffer(simhash.wide_fingerprint(np.unique(simhash.shingle_hashes((t or "").encode(), 5))), "<u8") for _, t in docs]
     near = [[int(np.bitwise_count(a ^ b).sum()) <= simhash.radius_of(0.8, 256) for b in wide] for a in wide]
     label = list(range(len(docs)))
     for _ in docs:
