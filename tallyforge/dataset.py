@@ -38,6 +38,10 @@ class Dataset:
     def with_labels(self, labels: DataFrame) -> Dataset:
         return Dataset(self.transactions, self.items, self.baskets, labels)
 
+    def cached(self) -> Dataset:
+        """The same, with items, baskets and labels kept (in memory, else on disk) for plans that read them several times."""
+        return Dataset(self.transactions, self.items.persist(), self.baskets.persist(), self.labels if self.labels is None else self.labels.persist())
+
     def complemented(self) -> Dataset:
         """Labels turned round: negatives become positives."""
         return self.with_labels(self.labels.withColumn("is_pos", ~F.col("is_pos")))

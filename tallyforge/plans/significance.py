@@ -128,6 +128,7 @@ def mine_significant(data: Dataset, test: str = "fisher", alternative: str = "gr
     if data.labels is None:
         raise ValueError("labels are needed")
     select_results(data.items.sparkSession.createDataFrame([], "pval double, n_items int, ids array<int>"), alpha, min_results, max_results)  # the bounds' check
+    data = data.cached()
     total, n = data.counts()
     kind = TESTS[test]
     reverse = kind(total, n, alternative).complements

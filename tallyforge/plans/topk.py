@@ -51,6 +51,7 @@ def topk_itemsets(data: Dataset, k: int = 3, test: str = "fisher", alternative:
     """
     if k < 1:
         raise ValueError("k must be positive")
+    data = data.cached()
     total, n = data.counts()
     kind = TESTS[test]
     reverse = kind(total, n, alternative).complements
