@@ -16,6 +16,9 @@ smallest fingerprint of its group, never all pairs.
 Null or blank text has no word and fingerprint zero, which links like any
 other. Null identifiers are no component's smallest. Repeated rows share their
 component; an empty table gives none.
+
+`similar_documents`, for the pipeline, links by the Jaccard similarity of shingle
+sets instead, checked set against set; see the note above SAMPLE_DOCS.
 """
 
 from __future__ import annotations
@@ -193,11 +196,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     return _components(table, links(stored(table.select("fp").distinct(), "distinct"), radius))
 
 
-# Fingerprints of several lanes, for a similarity of shingles rather than a few bits. A
-# distance that is a share of the bits cannot be met by runs that agree, so here the
-# shards agree in bits drawn at random, over many tables.
+# Fingerprints of several lanes, for a similarity of shingles rather than a few bits: an
+# estimate that the tests compare with; links go by the sets themselves, below.
 
-LANES, TABLES = 4, 32
+LANES = 4
 
 
 def wide_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> bytes:
@@ -218,107 +220,249 @@ def radius_of(similarity: float, bits: int, margin: float = 1.0) -> int:
     return math.floor(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
-def _joined(n: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest that links lead to."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, high, before[low])
-        np.minimum.at(label, low, before[high])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
-def _spanning(fps: np.ndarray, bucket: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """One link for each row that is joined to an earlier one of its bucket; buckets are sorted. Small buckets are searched by comparing rows a few places apart all at once, others by a tree."""
-    starts = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)), len(bucket))
-    sizes = np.diff(starts)
-    size = np.repeat(sizes, sizes)
-    high, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lag in range(1, min(small, int(sizes.max(initial=0)))):
-        at = np.flatnonzero((size[lag:] <= small) & (bucket[lag:] == bucket[:-lag]))
-        near = at[_apart(fps[at], fps[at + lag]) <= radius]
-        high.append(near + lag)
-        low.append(near)
-    for k in np.flatnonzero(sizes > small):
-        a, b = starts[k], starts[k + 1]
-        root = neighbour_roots(fps[a:b], radius)
-        moved = np.flatnonzero(root != np.arange(b - a))
-        high.append(a + moved)
-        low.append(a + root[moved])
-    label = _joined(len(bucket), np.concatenate(high), np.concatenate(low))
-    moved = np.flatnonzero(label != np.arange(len(bucket)))
-    return moved, label[moved]
-
-
-def similar_links(distinct: DataFrame, radius: int, lanes: int = LANES, tables: int = TABLES, most: int = 20_000, seed: int = 1) -> DataFrame:
-    """(high, low) fingerprints within radius that share a shard in one of the tables. distinct: one row for each fp (binary).
-
-    A shard agrees in as many drawn bits as keep unrelated fingerprints apart at
-    the table's size; one with over `most` rows is dealt by sixteen bits more.
-    """
-    bits = min(48, max(16, int(distinct.count()).bit_length() - 2))
-    rng = np.random.default_rng(seed)
-    drawn = [rng.choice(64 * lanes, bits + 16, replace=False) for _ in range(tables)]
+# Pairs by the Jaccard similarity of their shingle sets itself. In any order of all
+# shingles, two sets of that similarity share one of their first few (prefix filter);
+# with the shingles that are frequent in a sample last, few unrelated sets do. The
+# sample, the lists' sizes and the leaders change the time only, never the pairs.
 
-    def deal(batches):
-        for batch in slices(batches, 5000):
-            fp = batch.column(0)
-            flat = np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(-1, 8 * lanes)
-            on = np.unpackbits(flat, axis=1, bitorder="little").astype(np.int64)
-            for t, at in enumerate(drawn):
-                key = on[:, at[:bits]] @ (1 << np.arange(bits)) + (t << bits)
-                yield pa.RecordBatch.from_arrays([fp, pa.array(key), pa.array(on[:, at[bits:]] @ (1 << np.arange(16)))], ["fp", "bucket", "more"])
-
-    dealt = distinct.select("fp").mapInArrow(deal, "fp binary, bucket long, more long")
-    large = stored(dealt.groupBy("bucket").count().filter(F.col("count") > most).select("bucket"), "large")
-    if large.limit(1).count():
-        hot = large.withColumn("hot", F.lit(True))
-        dealt = dealt.join(hot, "bucket", "left").select("fp", "bucket", F.when(F.col("hot"), F.col("more")).otherwise(F.lit(0)).alias("more"))
-    else:
-        dealt = dealt.withColumn("more", F.lit(0).cast("long"))
+#: Documents whose shingles are counted for the order, and frequent shingles held.
+SAMPLE_DOCS, MOST_FREQUENT = 20_000, 200_000
+#: Times at most that leaders are drawn before all pairs left are compared.
+LEADER_TURNS = 12
+#: Bits that say which sets are wanted; with more sets than a quarter of them, all sets are dealt.
+WANTED_BITS = 1 << 26
 
-    def search(batches):
-        """Rows arrive sorted by shard; a shard may go on in the next batch."""
-        held: tuple[np.ndarray, np.ndarray] | None = None
 
-        def found(raw, shard):
-            high, low = _spanning(raw.view("<u8"), shard, radius)
-            a, b = [raw[i].tobytes() for i in high], [raw[i].tobytes() for i in low]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+def _key(hashes: np.ndarray) -> int:
+    """One number for a set of shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).astype(np.int64))
 
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 8 * lanes)
-            shard = batch.column(1).to_numpy() * (1 << 16) + batch.column(2).to_numpy() if bits + tables.bit_length() < 46 else np.array([hash(x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
-            if held is not None:
-                raw, shard = np.concatenate([held[0], raw]), np.concatenate([held[1], shard])
-            last = len(shard) and int(np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1))[-1])
-            if last:
-                yield found(raw[:last], shard[:last])
-            held = (raw[last:], shard[last:])
-        if held is not None and len(held[1]):
-            yield found(*held)
-
-    pairs = dealt.repartition("bucket", "more").sortWithinPartitions("bucket", "more").mapInArrow(search, "a binary, b binary")
-    return pairs.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
-
-
-def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, lanes: int = LANES, tables: int = TABLES) -> DataFrame:
-    """(id, fp, component_id) for each row, with links between wide fingerprints whose distance is that of shingle sets (each shingle once) of `similarity` or more.
-
-    Shards are drawn, so a pair is found with a probability: 0.9 at a similarity
-    of 0.8 and 0.98 at 0.85 with the defaults; groups of copies have many pairs.
+
+def _set_of(text: bytes | None, words: int, seed: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text or b"", words, seed))
+
+
+def _least(size, similarity: float):
+    """The least number of shared shingles with an equally large or larger set."""
+    return np.ceil(np.asarray(size) * similarity - 1e-9).astype(np.int64)
+
+
+def _may(at: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets can be similar that share no shingle before this one; at: size << 32 | place of the shingle."""
+    n, m = at >> 32, other >> 32
+    i, j = at & 0xFFFFFFFF, other & 0xFFFFFFFF
+    most = np.minimum(n - i, m - j)
+    return most * (1 + similarity) >= similarity * (n + m) - 1e-6
+
+
+def _frequent(texts: DataFrame, rows: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) that at least three documents of a sample hold, ascending by shingle."""
+
+    def work(batches):
+        for batch in slices(batches, 200):
+            sets = [_set_of(t, words, seed) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    drawn = texts.filter(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_DOCS / max(1, rows)))).select("text")
+    counts = drawn.mapInArrow(work, "h long").groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).toPandas()
+    h, n = counts["h"].to_numpy(np.int64).view(np.uint64), counts["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _lists(batches, columns: list[str]):
+    """Arrays of whole lists, from rows sorted by token; a list may go on in the next batch."""
+    held = None
+    for batch in batches:
+        now = [batch.column(c).to_numpy() for c in columns]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        last = int(np.flatnonzero(np.diff(held[0], prepend=held[0][0]))[-1]) if len(held[0]) and held[0][0] != held[0][-1] else 0
+        if last:
+            yield [x[:last] for x in held]
+            held = [x[last:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _bounds(token: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+
+
+def _pairs(keys: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (high, low)."""
+    a, b = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *others])
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _mix(keys: np.ndarray, turn: int) -> np.ndarray:
+    h = (keys.view(np.uint64) ^ np.uint64(turn * 0x9E3779B1)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _few(token: np.ndarray, key: np.ndarray, at: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(high, low) of all possible pairs in lists of up to `most` rows, and which rows are in larger lists."""
+    cuts = _bounds(token)
+    size = np.repeat(np.diff(cuts), np.diff(cuts))
+    keys, others = [], []
+    for lag in range(1, min(most, int(size.max(initial=0)))):
+        x = np.flatnonzero((size[lag:] <= most) & (token[lag:] == token[:-lag]))
+        x = x[_may(at[x], at[x + lag], similarity)]
+        keys.append(key[x])
+        others.append(key[x + lag])
+    return *_pairs(keys, others), size > most
+
+
+def _led(key: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float, turn: int, leaders: int = 4) -> tuple[list, list]:
+    """Possible pairs of a list's rows and a few of them, of different components."""
+    keys, others, order = [], [], np.argsort(_mix(key, turn))
+    _, first = np.unique(root[order], return_index=True)
+    for i in order[np.sort(first)[:leaders]]:
+        x = np.flatnonzero((root != root[i]) & _may(at, at[i], similarity))
+        keys.append(key[x])
+        others.append(np.full(len(x), key[i]))
+    return keys, others
+
+
+def _crossed(key: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float, block: int = 256):
+    """All possible pairs of a list's rows of different components, by blocks."""
+    order = np.argsort(at)
+    key, at, root = key[order], at[order], root[order]
+    n = at >> 32
+    for a in range(0, len(key), block):
+        b = min(a + block, len(key))
+        end = int(np.searchsorted(n, n[b - 1] / similarity + 1, "right"))
+        i, j = np.nonzero((root[a:b, None] != root[None, a:end]) & _may(at[a:b, None], at[None, a:end], similarity))
+        ahead = a + i < a + j
+        yield key[a + i[ahead]], key[a + j[ahead]]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (high, low) whose sets (key, hashes) have that Jaccard similarity or more, written to the shared folder."""
+
+    def work(batches):
+        for batch in slices(batches, 1000):
+            x, y = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("x", "y"))
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) - 1e-9 else 0 for p, q in zip(x, y, strict=True)], np.int64)
+            union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
+            yield batch.select(["high", "low"]).filter(pa.array(both >= similarity * union - 1e-9))
+
+    one = pairs.join(sets.select(F.col("key").alias("high"), F.col("hashes").alias("x")), "high")
+    both = one.join(sets.select(F.col("key").alias("low"), F.col("hashes").alias("y")), "low").select("high", "low", "x", "y")
+    return stored(both.mapInArrow(work, "high long, low long"), "alike")
+
+
+def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: int = 5, seed: int = 42, most: int = 32) -> DataFrame:
+    """(high, low) keys of shingle sets whose Jaccard similarity is `similarity` or more, as many as join all that such pairs join. docs: text; rows: how many.
+
+    Lists of up to `most` sets that share an early shingle are compared whole. In
+    a larger one a few leaders are compared first, over again while that joins
+    sets, and then all pairs that are not yet in one component.
+    """
+    spark = docs.sparkSession
+    frequent = spark.sparkContext.broadcast(_frequent(docs, rows, words, seed))  # at most 3 MB
+
+    def deal(batches):
+        known, counts = frequent.value
+        for batch in slices(batches, 500):
+            tokens, keys, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                h = _set_of(t, words, seed)
+                if not len(h):
+                    continue
+                key, n = _key(h), len(h)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    often = np.where(known[place] == h, counts[place], 0)
+                    if often.any():
+                        h = h[np.lexsort((h, often))]
+                first = n - int(_least(n, similarity)) + 1
+                tokens.append(h[:first])
+                keys.append(np.full(first, key))
+                ats.append((n << 32) + np.arange(first))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(ats))], ["token", "key", "at"])
+
+    def start(batches):
+        for token, key, at in _lists(batches, ["token", "key", "at"]):
+            high, low, large = _few(token, key, at, similarity, most)
+            if len(high):
+                yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.nulls(len(high), pa.int64()), pa.nulls(len(high), pa.int64())], ["key", "low", "token", "at"])
+            if large.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(token[large]), pa.array(at[large])], ["key", "low", "token", "at"])
+
+    postings = docs.select("text").mapInArrow(deal, "token long, key long, at long")
+    dealt = stored(postings.repartition("token").sortWithinPartitions("token").mapInArrow(start, "key long, low long, token long, at long"), "lists")
+    pairs = stored(dealt.filter("low IS NOT NULL").select(F.col("key").alias("high"), "low").distinct(), "pairs")
+    large = stored(dealt.filter("token IS NOT NULL").select("token", "key", "at").distinct(), "large")
+
+    wanted = stored(pairs.select(F.explode(F.array("high", "low")).alias("key")).union(large.select("key")).distinct(), "wanted")
+    bits = None
+    if wanted.count() * 4 <= WANTED_BITS:
+        at_bit = wanted.select(F.col("key").bitwiseAND(F.lit(WANTED_BITS - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+        field = np.zeros(WANTED_BITS >> 3, np.uint8)
+        np.bitwise_or.at(field, at_bit >> 3, (1 << (at_bit & 7)).astype(np.uint8))
+        bits = spark.sparkContext.broadcast(field)
+
+    def sets_of(batches):
+        for batch in slices(batches, 500):
+            keys, found = [], []
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                h = _set_of(t, words, seed)
+                key = _key(h)
+                bit = key & (WANTED_BITS - 1)
+                if len(h) and (bits is None or bits.value[bit >> 3] >> (bit & 7) & 1):
+                    keys.append(key)
+                    found.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "hashes"])
+
+    sets = docs.select("text").mapInArrow(sets_of, "key long, hashes binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    sets = stored(sets, "sets")
+    links = _alike(pairs, sets, similarity)
+    turn, last = 0, not large.limit(1).count()
+    while not last:
+        star = components(links).select(F.col("high").alias("key"), F.col("low").alias("root"))
+        rooted = large.join(star, "key", "left").select("token", "key", "at", F.coalesce("root", "key").alias("root"))
+        last = turn == LEADER_TURNS
+
+        def search(batches, turn=turn, whole=last):
+            for columns in _lists(batches, ["token", "key", "at", "root"]):
+                cuts, keys, others = _bounds(columns[0]), [], []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    key, at, root = (x[a:b] for x in columns[1:])
+                    if (root == root[0]).all():
+                        continue
+                    for k, o in _crossed(key, at, root, similarity) if whole else zip(*_led(key, at, root, similarity, turn), strict=True):
+                        keys.append(k)
+                        others.append(o)
+                        if sum(map(len, keys)) > 1 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(keys, others)], ["high", "low"])
+                            keys, others = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(keys, others)], ["high", "low"])
+
+        tried = stored(rooted.repartition("token").sortWithinPartitions("token").mapInArrow(search, "high long, low long").distinct(), "tried")
+        more = _alike(tried, sets, similarity)
+        many, joined = tried.count(), more.count()
+        links = stored(links.unionByName(more), "links")
+        if not many:
+            break
+        turn = LEADER_TURNS if joined * 20 < many else turn + 1
+    return links
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42) -> DataFrame:
+    """(id, fp, component_id) for each row: links join rows whose sets of shingles (each once) have a Jaccard similarity of `similarity` or more. fp is the set's number.
+
+    Every such pair is found, whatever the number of rows or the size of a group.
     """
 
     def work(batches):
         for batch in slices(batches, 2000):
-            fps = [wide_fingerprint(np.unique(shingle_hashes(t or b"", words, seed)), lanes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
+            keys = [_key(_set_of(t, words, seed)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = stored(rows.mapInArrow(work, "id long, fp binary"), "fingerprints")
-    return _components(table, similar_links(stored(table.select("fp").distinct(), "distinct"), radius_of(similarity, 64 * lanes), lanes, tables))
+    table = stored(rows.mapInArrow(work, "id long, fp long"), "keys")
+    return _components(table, similar_links(rows.select("text"), table.count(), similarity, words, seed))
 
 
 def without_near_duplicates(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -204,6 +204,39 @@ def test_similar_documents(spark, none, most, monkeypatch):
     assert simhash.similar_documents(none).count() == 0
 
 
+def _brute_similar(texts, least=0.8):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or a and b and len(a & b) >= least * len(a | b) - 1e-9:
+                x, y = label[i], label[j]
+                label = [min(x, y) if k in (x, y) else k for k in label]
+    return label
+
+
+def _edited(rng, text, vocabulary, edits):
+    w = text.split()
+    for k in rng.sample(range(0, len(w), 6), edits):
+        w[k] = rng.choice(vocabulary)
+    return " ".join(w)
+
+
+def test_similar_documents_finds_every_pair(spark):
+    """Pairs right at the threshold, above and below: all that are similar are joined, and no others."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(5000)]
+    texts = []
+    for g in range(80):
+        base = " ".join(rng.choices(vocabulary, k=220))
+        texts += [base, _edited(rng, base, vocabulary, 2 + g % 6)]  # similarities of 0.72 to 0.91
+    texts += [None, "", "a b", "A  b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute_similar(texts)
+
+
 def test_bk_tree_against_all_pairs():
     rng = np.random.default_rng(2)
     fps = np.unique(rng.integers(0, 1 << 12, 700).astype(np.uint64) * np.uint64(17))
