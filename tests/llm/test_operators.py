@@ -237,6 +237,21 @@ def test_similar_documents_finds_every_pair(spark):
     assert [got[i] for i in range(len(texts))] == _brute_similar(texts)
 
 
+@pytest.mark.parametrize("most", [32, 3])
+def test_similar_documents_in_large_groups(spark, most, monkeypatch):
+    """Slightly different copies of one text, and texts that share a long passage: a large list loses no pair."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(5000)]
+    base, passage = (" ".join(rng.choices(vocabulary, k=120)) for _ in range(2))
+    texts = [_edited(rng, base, vocabulary, rng.randint(0, 5)) for _ in range(120)]
+    texts += [passage + " " + " ".join(rng.choices(vocabulary, k=rng.randint(10, 60))) for _ in range(80)]
+    links_ = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda *a: links_(*a, most=most))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute_similar(texts)
+
+
 def test_bk_tree_against_all_pairs():
     rng = np.random.default_rng(2)
     fps = np.unique(rng.integers(0, 1 << 12, 700).astype(np.uint64) * np.uint64(17))
