@@ -23,6 +23,7 @@ its own; repeated rows are packed each; an empty table has no pieces.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,10 +136,20 @@ def padded(tokens: int, window: int = 2048) -> int:
     return tokens if tokens and not tokens & (tokens - 1) else window
 
 
-def token_table(docs: DataFrame, vocabulary: str, end_id: int, queue: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, queue, n, ids, part, before (ids of the same queue and part that precede), written to the shared folder."""
+def _queue_of(source: str | None) -> str:
+    return "-" if source is None else f"={source}"
+
+
+def token_table(docs: DataFrame, vocabulary: str, end_id: int, queue: str = "source", id_col: str = "doc_id", text_col: str = "text", named: Iterable[str | None] = ()) -> DataFrame:
+    """doc_id, queue, n, ids, part, before (ids of the same queue and part that precede), written to the shared folder.
+
+    Of over MOST_QUEUES sources, those that are `named` keep queues of their own.
+    """
     many = docs.select(queue).distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES
-    name = F.concat(F.lit("#"), F.pmod(F.xxhash64(queue), F.lit(MOST_QUEUES)).cast("string")) if many else F.coalesce(F.concat(F.lit("="), F.col(queue).cast("string")), F.lit("-"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(queue).cast("string")), F.lit("-"))
+    if many:
+        own = [_queue_of(x) for x in named]
+        name = F.when(name.isin(own), name).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(queue), F.lit(MOST_QUEUES)).cast("string")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), name.alias("queue"), F.col(text_col).cast("string").alias("text"))
 
     def encode(batches):
@@ -159,17 +170,18 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, slot
     """Pack all documents; returns a row for each piece.
 
     targets: wanted proportions by source (None: the null source); sources that
-    are not named come after those that are. Columns: doc_id, start, length,
+    are not named come after those that are, whatever the number of sources. Columns: doc_id, start, length,
     doc_tokens, ids (binary, 32-bit little-endian), queue, sequence_id, offset,
     padded_length.
     """
-    table = token_table(docs, vocabulary, end_id, queue, id_col, text_col)
+    table = token_table(docs, vocabulary, end_id, queue, id_col, text_col, targets or ())
     counts = table.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = stored(counts.withColumn("base", ahead), "offsets")
     totals = {r["queue"]: r["n"] for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}  # MOST_QUEUES rows
     names = {q: i for i, q in enumerate(totals)}
-    shares = None if targets is None else np.array([targets.get(None if q == "-" else q[1:], 0.0) for q in totals])
+    shares_of = {_queue_of(x): share for x, share in (targets or {}).items()}
+    shares = None if targets is None else np.array([shares_of.get(q, 0.0) for q in totals])
     plan = Schedule.plan(np.array(list(totals.values()), np.int64), window, slot, shares)
     total = sum(totals.values())
     few = offsets.count() <= MOST_OFFSETS

@@ -85,6 +85,16 @@ def test_pack(spark, targets):
     assert all(len(r.ids) == 4 * packing.padded(len(r.ids) // 4) for r in seqs)
 
 
+def test_targets_hold_with_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_QUEUES", 4)
+    sources = ["a"] * 300 + ["b"] * 150 + [None] * 150 + [str(i % 9) for i in range(360)]
+    docs = spark.createDataFrame([(i, "x" * 2040, x) for i, x in enumerate(sources)], "doc_id long, text string, source string")
+    pieces = packing.pack(docs, BYTE, 1, targets={"a": 2.0, "b": 1.0, None: 1.0}).toPandas()
+    first = pieces[pieces.sequence_id < 64].groupby("queue").length.sum().to_dict()
+    assert first == {"=a": 256 * 256, "=b": 128 * 256, "-": 128 * 256}
+    assert sorted(set(pieces.doc_id)) == list(range(960))
+
+
 def test_pack_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert packing.pack(docs, BYTE, 1).count() == 0
