@@ -1,28 +1,32 @@
 """Packing of documents into token windows with a controlled mixture.
 
 Every source is a queue: the stream of its documents' ids. A window consists of
-slots. Deficit round-robin gives each queue credit in proportion to its target
-share; a queue is served a slot whenever its credit reaches a whole slot, and
-what it is short or over is carried on. The rule has two levels, so that no
-task depends on another's work:
-
-* between partitions, the driver hands every run of windows a whole number of
-  slots of each queue and carries the deficits from run to run, also when a
-  queue runs dry and the others take its share;
-* within a run, slot i of a queue with n slots falls due at round (i + 1/2) / n;
-  all slots of the run in that order, ties by queue, are its windows. A slot's
-  place is computed directly by counting the slots due before it.
-
-So every window holds each queue's share to within a slot or so, and every
-document finds its pieces' places from its offset in its queue. The queues'
-last, partial slots follow at the end; only the last window is padded.
+slots. Deficit round-robin adds to each queue's deficit, window by window, its
+target share of the window's slots; a queue is served as many whole slots as its
+deficit holds, the slots that are left go to the largest deficits, and what a
+queue is short or over is carried into the next window. The same rule works on
+three levels, so that no task depends on another's work:
+
+* the driver hands every run of windows a whole number of slots of each queue and
+  carries the deficits from run to run, also when a queue runs dry and the others
+  take its share. It plans MOST_RUNS runs at most;
+* a run of many windows is dealt to FAN parts in the same way, and those again,
+  until a part has FAN windows at most;
+* those windows are filled one after the other.
+
+A task works out the parts and windows in which its documents lie; nothing else is
+computed, and ids are never shuffled. The queues' last, partial slots follow at
+the end; only the last window is padded.
 
 Null text is an empty document (its end id alone); a null source is a queue of
-its own; repeated rows are packed each; an empty table has no pieces.
+its own; repeated rows are packed each; an empty table has no pieces. A text is
+encoded whole, in one task, whatever its length. Extra columns are not read and
+may have any name.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -38,10 +42,55 @@ from tallyforge.llm.tokens import encoder
 MOST_RUNS = 8192
 #: Beyond so many sources, a queue holds the sources of one hash bucket.
 MOST_QUEUES = 1024
+#: Parts that a run is dealt to at once, and windows that are filled one after the other.
+FAN = 64
+#: Bytes of dealt parts that a task remembers.
+HELD_BYTES = 64 << 20
 #: Rows of (partition, queue) offsets up to which they are broadcast: 24 MB.
 MOST_OFFSETS = 1_000_000
 
 
+def deal(slots: np.ndarray, rooms: list[int]) -> np.ndarray:
+    """Deficit round-robin of the queues' slots over rooms that hold them all; row k: slots of each queue in the rooms before k."""
+    total, left, deficit = int(slots.sum()), slots.copy(), np.zeros(len(slots))
+    rows = np.zeros((len(rooms) + 1, len(slots)), np.int64)
+    for k, room in enumerate(rooms):
+        deficit += room * slots / total
+        turn = np.clip(np.floor(deficit + 1e-9).astype(np.int64), 0, left)
+        more = room - int(turn.sum())
+        while more:
+            able = np.flatnonzero(turn < left) if more > 0 else np.flatnonzero(turn)
+            short = (deficit - turn)[able]
+            pick = able[np.argsort(-short if more > 0 else short, kind="stable")[: abs(more)]]
+            turn[pick] += 1 if more > 0 else -1
+            more = room - int(turn.sum())
+        deficit -= turn
+        left -= turn
+        rows[k + 1] = rows[k] + turn
+    return rows
+
+
+class _Dealt:
+    """deal() of runs and parts, the latest HELD_BYTES of them remembered."""
+
+    def __init__(self):
+        self.held, self.bytes = OrderedDict(), 0
+
+    def __call__(self, slots: np.ndarray, rooms: list[int]) -> np.ndarray:
+        key = (slots.tobytes(), rooms[0], len(rooms))
+        if key in self.held:
+            self.held.move_to_end(key)
+            return self.held[key]
+        rows = self.held[key] = deal(slots, rooms)
+        self.bytes += rows.nbytes
+        while self.bytes > HELD_BYTES and len(self.held) > 1:
+            self.bytes -= self.held.popitem(last=False)[1].nbytes
+        return rows
+
+
+_dealt = _Dealt()
+
+
 @dataclass
 class Schedule:
     """Where each slot of each queue goes.
@@ -89,18 +138,30 @@ class Schedule:
             taken.append(taken[-1] + given)
         return cls(window, slot, tokens, np.array(taken))
 
+    def _place(self, slots: np.ndarray, queue: int, index: np.ndarray) -> np.ndarray:
+        """Places, in a run or part with so many slots of each queue, of slots `index` of `queue` there."""
+        in_window, total = self.window // self.slot, int(slots.sum())
+        windows = -(-total // in_window)
+        wide = -(-windows // FAN) * in_window
+        rows = _dealt(slots, [min(wide, total - at) for at in range(0, total, wide)])
+        part = np.searchsorted(rows[:, queue], index, "right") - 1
+        place = part * wide
+        if windows <= FAN:
+            return place + (rows[part + 1, :queue] - rows[part, :queue]).sum(1) + index - rows[part, queue]
+        for p in np.unique(part):
+            here = part == p
+            place[here] += self._place(rows[p + 1] - rows[p], queue, index[here] - rows[p, queue])
+        return place
+
     def places(self, queue: np.ndarray, index: np.ndarray) -> np.ndarray:
         """The global slot number of full slot `index` of `queue`."""
-        run = np.zeros(len(index), np.int64)
+        place = np.zeros(len(index), np.int64)
         for q in np.unique(queue):
-            run[queue == q] = np.searchsorted(self.taken[:, q], index[queue == q], "right") - 1
-        here = self.taken[run + 1] - self.taken[run]
-        own = np.take_along_axis(here, queue[:, None], 1)[:, 0]
-        due = 2 * (index - self.taken[run, queue]) + 1
-        place = self.taken[run].sum(1)
-        for r in range(here.shape[1]):
-            crossed = due * here[:, r]
-            place += np.where(r == queue, due // 2, (crossed - (r > queue) + own) // (2 * own))
+            of = np.flatnonzero(queue == q)
+            run = np.searchsorted(self.taken[:, q], index[of], "right") - 1
+            for r in np.unique(run):
+                here = of[run == r]
+                place[here] = self.taken[r].sum() + self._place(self.taken[r + 1] - self.taken[r], int(q), index[here] - self.taken[r, q])
         return place
 
     def pieces(self, queue: np.ndarray, offset: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,12 +227,14 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, queue: str = "sou
     return stored(rows.mapInArrow(encode, "doc_id long, queue string, n long, ids binary, part long, before long, width int"), "tokens")
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, slot: int = 256, targets: dict[str | None, float] | None = None, queue: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, slot: int = 256, targets: dict[str | None, float] | None = None, temperature: float = 1.0, queue: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents; returns a row for each piece.
 
     targets: wanted proportions by source (None: the null source); sources that
-    are not named come after those that are, whatever the number of sources. Columns: doc_id, start, length,
-    doc_tokens, ids (binary, 32-bit little-endian), queue, sequence_id, offset,
+    are not named come after those that are, whatever the number of sources.
+    Without targets, a source's share is its number of ids to the power of
+    `temperature`: 1 keeps the sources' own proportions, so that all run dry
+    together, 0 gives all the same share. Columns: doc_id, start, length, doc_tokens, ids (binary, 32-bit little-endian), queue, sequence_id, offset,
     padded_length.
     """
     table = token_table(docs, vocabulary, end_id, queue, id_col, text_col, targets or ())
@@ -181,7 +244,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, slot
     totals = {r["queue"]: r["n"] for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}  # MOST_QUEUES rows
     names = {q: i for i, q in enumerate(totals)}
     shares_of = {_queue_of(x): share for x, share in (targets or {}).items()}
-    shares = None if targets is None else np.array([shares_of.get(q, 0.0) for q in totals])
+    shares = np.array([float(n) ** temperature if targets is None else shares_of.get(q, 0.0) for q, n in totals.items()])
     plan = Schedule.plan(np.array(list(totals.values()), np.int64), window, slot, shares)
     total = sum(totals.values())
     few = offsets.count() <= MOST_OFFSETS

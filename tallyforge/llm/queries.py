@@ -18,8 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Exponent of the sources' sizes in the mixture's targets: small sources are served above their size, as is usual for mixtures.
+TEMPERATURE = 0.7
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
+    pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1, temperature=TEMPERATURE)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length", "queue")
 
 

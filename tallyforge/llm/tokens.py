@@ -1,15 +1,17 @@
-"""Ids by the tokenizers library, with one library call for each distinct chunk.
-
-A text is cut where no pre-token of the vocabulary can reach across: at white
-space, or, where a pre-token may start with a space, before each space that a
-visible character follows. Every distinct chunk, or each pre-token of a
-chunk in Latin letters, goes through the library's model once and its ids are
-kept in a bounded table. Texts with unusual white space go through the library
-whole. The ids are those of a plain ``encode`` of the whole text.
+"""Ids by the tokenizers library, with one model call for many distinct pre-tokens.
+
+Texts in Latin letters are cut into the vocabulary's pre-tokens here; every
+distinct one goes through the library's model once and its ids are kept in a
+bounded table. Other texts are cut into chunks where no pre-token can reach
+across: at white space, or, where a pre-token may start with a space, before
+each space that a visible character follows; chunks in other scripts go through
+the library. Texts with unusual white space or the name of a special token go
+through the library whole. The ids are those of a plain ``encode`` of the text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -19,7 +21,6 @@ import numpy as np
 
 #: White space on which Python and the libraries' patterns may not agree.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-_ODD_SPACE = re.compile(r" (?:[\t-\r ]|\Z)")
 _BEFORE_SPACE = re.compile(r"(?= [^\t-\r ])")
 
 
@@ -40,64 +41,94 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in visible else next(other)) for b in range(256)]
 
 
-class _Table(dict):
-    """text -> its ids as bytes, made on first use. When `limit` are held it starts anew; texts over `longest` are not held."""
-
-    def __init__(self, make, limit: int, longest: int):
-        super().__init__()
-        self.make, self.limit, self.longest = make, limit, longest
-
-    def __missing__(self, text: str) -> bytes:
-        ids = self.make(text)
-        if len(text) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[text] = ids
-        return ids
-
-
 class ChunkEncoder:
-    """Encodes texts with the tokenizer file at `path`; the names of special tokens in a text are ordinary text.
+    """Encodes texts with the tokenizer file at `path`, as its plain encode() does without special tokens.
+
+    The name of a special token in a text becomes that token's id, as the
+    library does by default; such texts go through the library whole.
 
-    limit: chunks and pre-tokens that are remembered; longest: code points of the longest of them.
+    limit: pieces, and chunks in other scripts, that are remembered; longest: code
+    points of the longest of them. Beyond `limit` a table starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 600_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.spaced = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.letters = dict(enumerate(_byte_letters()))
-        self.pieces = _Table(self._piece, limit, longest)
-        self.led = _Table(lambda chunk: self._chunk(" " + chunk), limit, longest)
-        self.whole = _Table(self._chunk, limit, longest)
+        self.letters = "".join(_byte_letters())
+        self.separator = self._separator(path)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _separator(self, path: str) -> int | None:
+        """The id of byte 255, which no text holds, if no merge can reach across it and words have no end mark."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        mark = self.letters[255]
+        merges = (m if isinstance(m, str) else "".join(m) for m in model.get("merges", ()))
+        if model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or any(mark in m for m in merges):
+            return None
+        return model["vocab"].get(mark)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+    def _made(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens; a thousand at a time go through the model as one word, cut by the separator."""
+        if self.separator is None:
+            return {p: array(self.code, [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes() for p in pieces}
+        made, width = {}, self.dtype.itemsize
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at : at + 1000]
+            word = b"\xff".join(map(str.encode, part)).decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(word)], self.dtype)
+            data, begin = ids.tobytes(), 0
+            for piece, end in zip(part, [*(np.flatnonzero(ids == self.separator) * width).tolist(), len(data)], strict=True):
+                made[piece] = data[begin:end]
+                begin = end + width
+        return made
+
+    def _latin(self, text: str) -> bytes:
+        found = _SPACED.findall(text) if self.spaced else _WORDS.findall(text.lower())
+        held, distinct = self.pieces, set(found)
+        missing = distinct.difference(held)
+        if missing:
+            if len(held) + len(missing) > self.limit:
+                held.clear()
+                missing = distinct
+            held.update(self._made(list(missing)))
+        data = b"".join(map(held.__getitem__, found))
+        for piece in missing:
+            if len(piece) > self.longest:
+                del held[piece]
+        return data
 
     def _chunk(self, chunk: str) -> bytes:
-        if _FOREIGN.search(chunk):
-            return self._library(chunk)
-        return b"".join(map(self.pieces.__getitem__, _SPACED.findall(chunk) if self.spaced else _WORDS.findall(chunk.lower())))
+        ids = self.chunks.get(chunk)
+        if ids is None:
+            ids = self._library(chunk) if _FOREIGN.search(chunk) else self._latin(chunk)
+            if len(chunk) <= self.longest:
+                if len(self.chunks) >= self.limit:
+                    self.chunks.clear()
+                self.chunks[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of text, little-endian of self.dtype."""
-        if _UNUSUAL.search(text):
+        if self.special.search(text) or _UNUSUAL.search(text):
             return self._library(text)
+        if not _FOREIGN.search(text):
+            return self._latin(text)
         if not self.spaced:
-            return b"".join(map(self.whole.__getitem__, text.split()))
-        if _ODD_SPACE.search(text):
-            return b"".join(map(self.whole.__getitem__, _BEFORE_SPACE.split(text)))
-        first, *rest = text.split(" ")
-        return self.whole[first] + b"".join(map(self.led.__getitem__, rest))
+            return b"".join(map(self._chunk, text.split()))
+        return b"".join(map(self._chunk, _BEFORE_SPACE.split(text)))
 
 
 @lru_cache(4)

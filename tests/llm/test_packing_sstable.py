@@ -27,9 +27,7 @@ ROWS = [
 
 @lru_cache
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)  # as it is
 
 
 def ids_of(path, text):
@@ -43,6 +41,17 @@ def test_chunks_give_the_ids_of_the_whole_text(text):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_names_of_special_tokens_and_full_tables(path):
+    small = ChunkEncoder(path, limit=20, longest=6)
+    names = [t.content for t in library(path).get_added_tokens_decoder().values()]
+    assert names
+    for name in names:
+        for text in (name, f"hello {name} world", f"a{name.upper()}b", f"{name}{name}", f"日本 {name} é", name[:-1], "x" * 200 + " y" * 2000, " ".join(f"w{i}é" for i in range(3000))):
+            for enc in (small, ENCODERS[path]):
+                assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == ids_of(path, text), text
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -117,6 +126,29 @@ def test_schedule_is_a_permutation_and_fair(tokens, most_runs, rnd):
             assert np.abs(own * full[r] / full.sum() - np.arange(len(own))).max() <= len(full) + 2
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=6), st.integers(1, 40))
+def test_deficits_are_carried_from_window_to_window(slots, room):
+    slots = np.array(slots)
+    total = int(slots.sum())
+    rooms = [min(room, total - at) for at in range(0, total, room)]
+    rows = packing.deal(slots, rooms)
+    assert (rows[-1] == (slots if total else 0)).all() and (np.diff(rows, axis=0) >= 0).all()
+    assert (rows.sum(1) == np.cumsum([0, *rooms])).all()
+    if total:
+        assert np.abs(rows - np.outer(rows.sum(1), slots / total)).max() < len(slots)
+
+
+def test_windows_hold_their_shares_in_deep_runs(monkeypatch):
+    monkeypatch.setattr(packing, "FAN", 4)
+    plan = packing.Schedule.plan(np.array([256 * 7000, 256 * 2000, 256 * 1000]), 2048, 256, most_runs=1)
+    place = [plan.places(np.full(n, q), np.arange(n)) for q, n in enumerate((7000, 2000, 1000))]
+    assert sorted(np.concatenate(place)) == list(range(10000))
+    for own, share in zip(place, (0.7, 0.2, 0.1), strict=True):
+        served = np.searchsorted(np.sort(own), np.arange(8, 10001, 8))
+        assert np.abs(served - share * np.arange(8, 10001, 8)).max() < 3
+
+
 def test_targets_hold_until_a_queue_runs_dry():
     plan = packing.Schedule.plan(np.array([256 * 4000, 256 * 1000]), 2048, 256, np.array([0.5, 0.5]))
     order = np.argsort(np.concatenate([plan.places(np.full(4000, 0), np.arange(4000)), plan.places(np.full(1000, 1), np.arange(1000))]))
