@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,16 @@ _scratch: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder of our own is used.
+    Only where that is unset and the session is local (tests) a temporary folder
+    of our own is used; on a cluster an unset one is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         # with its file system's name, as executors open files there themselves
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         made = tempfile.mkdtemp(prefix="tallyforge-")
@@ -64,6 +68,16 @@ def release(spark: SparkSession, since: int) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def workspace(spark: SparkSession):
+    """What operators leave in the shared folder goes at the end of the block; write results that read it inside."""
+    since = mark()
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor takes nothing with it."""
     path = scratch(df.sparkSession, name)
