@@ -12,7 +12,10 @@ range condition decides. Everything is DataFrame operations.
 Of entries of one list, key and day an addition wins. Entries without list, key
 or day, or with another action than add and remove, are ignored. A capture
 without day or URL is not blocked. Repeated captures each have their row, and
-either table may be empty.
+either table may be empty. Columns of captures may have any name; one that is
+named like a column of the result gives way to it. A host of over HOST_MOST
+characters is no host name, so that such a URL only has itself as key, however
+long it is.
 """
 
 from __future__ import annotations
@@ -21,6 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAR = "9999-12-31"
+#: Characters of the longest host name (a limit of the name system).
+HOST_MOST = 253
+#: Columns that evaluate() adds.
+ADDED = ("blocked", "n_active", "matched_key", "matched_list")
 
 
 def host_of(url: Column) -> Column:
@@ -30,7 +37,8 @@ def host_of(url: Column) -> Column:
 
 def keys_of(url: Column) -> Column:
     """The URL without query and fragment, the host, and each parent domain of two labels or more."""
-    labels = F.split(host_of(url), r"\.")
+    host = host_of(url)
+    labels = F.split(F.when(F.char_length(host) <= HOST_MOST, host).otherwise(""), r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return F.array_distinct(F.filter(F.concat(F.array(F.regexp_replace(url, r"[?#].*$", "")), parents), lambda k: F.length(k) > 0))
 
@@ -54,5 +62,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_
     met = asked.join(cut, ["key", "month"]).filter("since <= d AND d < until")
     best = F.min(F.struct((-F.length("key")).alias("n"), "key", "list")).alias("best")
     verdict = met.groupBy("u", "d").agg(F.count("*").alias("n_active"), best)
-    joined = captures.join(verdict, (F.col(url_col) == F.col("u")) & (F.col(day_col).cast("date") == F.col("d")), "left")
-    return joined.select(*[captures[c] for c in captures.columns], F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("best.key").alias("matched_key"), F.col("best.list").alias("matched_list"))
+    kept = [c for c in captures.columns if c.lower() not in ADDED]
+    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.lit(None).alias("row"), F.col(url_col).alias("u"), F.col(day_col).cast("date").alias("d"))
+    joined = rows.join(verdict, ["u", "d"], "left")
+    return joined.select(*[F.col("row")[c].alias(c) for c in kept], F.col("n_active").isNotNull().alias("blocked"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("best.key").alias("matched_key"), F.col("best.list").alias("matched_list"))
