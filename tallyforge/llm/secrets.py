@@ -10,7 +10,11 @@ Windows at or above the class's threshold join to spans. A candidate that an
 allow-list pattern matches gives none; base spans always stay.
 
 All of it is DataFrame functions. Positions are code points, ends exclusive.
-Null text is empty; repeated rows each have their row; an empty table has none.
+Null text is empty; repeated rows each have their row; an empty table has none;
+extra columns are not read and may have any name. Matches and windows are worked
+off in blocks, so that time grows in proportion to a text's or candidate's length,
+however long, and ties don't arise: spans of a kind are disjoint, and all are
+ordered by start, then kind, then end.
 """
 
 from __future__ import annotations
@@ -57,17 +61,37 @@ CLASSES = (
 KINDS = ("assign", "access", "hex")
 
 
+#: Matches, and windows of a candidate, that are worked off at once.
+BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), where value is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(size: Column, first: int) -> Column:
+    """Where blocks of so many elements begin, from `first` on; none for size 0."""
+    return F.when(size > 0, F.sequence(F.lit(first), size - 1 + first, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+
+
 def _found(text: Column, pattern: str) -> Column:
     """array of (start, text) for each match: matches and the texts between them, laid end to end."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
+    length = lambda pair: F.char_length(pair["gap"]) + F.char_length(pair["hit"])
+
+    def starts(base: Column, sizes: Column) -> Column:
+        """base, and base plus the sizes before, for each."""
+        zero = F.struct(base.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sizes, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.char_length(pair["gap"])
-        return F.struct((at + F.char_length(pair["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), pair["hit"].alias("hit")))).alias("out"))
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, pair: n + length(pair)))
+        each = F.zip_with(blocks, starts(F.lit(0), sums), lambda b, base: F.zip_with(b, starts(base, F.transform(b, length)), lambda pair, at: F.struct((at + F.char_length(pair["gap"])).alias("start"), pair["hit"].alias("hit"))))
+        return F.flatten(each)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    pairs = _bound(hits, lambda h: F.zip_with(F.slice(gaps, 1, F.size(h)), h, lambda g, x: F.struct(g.alias("gap"), x.alias("hit"))))
+    return _bound(_bound(pairs, lambda all_: F.transform(_blocks(F.size(all_), 1), lambda at: F.slice(all_, at, BLOCK))), placed)
 
 
 def _spans(text: Column, gate: Column, pattern: str, kind: int, keep) -> Column:
@@ -77,29 +101,46 @@ def _spans(text: Column, gate: Column, pattern: str, kind: int, keep) -> Column:
 
 
 def entropy_spans(candidate: Column, cls: CharacterClass) -> Column:
-    """array of (start, end) of the joined windows of a candidate whose entropy reaches the threshold."""
+    """array of (start, end) of the joined windows of a candidate whose entropy reaches the threshold.
+
+    The candidate is cut into characters once. Windows are counted in blocks of
+    BLOCK of them; a block's counts start anew, and its spans join those before.
+    """
     w = cls.window
     most = w * (math.log2(w) - cls.threshold) + 1e-9  # entropy >= threshold as a bound on the sum of c log2 c
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 1)])
-    steps = F.sequence(F.lit(1), F.char_length(candidate))
-    start = F.struct(F.array_repeat(F.lit(0), len(cls.alphabet) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        place = lambda at: F.position(F.substring(candidate, at, F.lit(1)), F.lit(cls.alphabet))
-        came, gone = place(i), F.when(i > w, place(i - w)).otherwise(F.lit(0))
-        return F.transform(F.array(F.struct(came.alias("came"), gone.alias("gone"))), lambda x: turn(acc, i, x["came"], x["gone"]))[0]
-
-    def turn(acc: Column, i: Column, came: Column, gone: Column) -> Column:
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == came, 1).otherwise(0) - F.when((k == gone) & (gone > 0), 1).otherwise(0))
-        up = weight[acc["counts"][came] + 1] - weight[acc["counts"][came]]
-        down = F.when(gone > 0, weight[acc["counts"][gone] - 1] - weight[acc["counts"][gone]]).otherwise(0.0)
-        total = acc["sum"] + F.when(came == gone, 0.0).otherwise(up + down)
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        joins = last.isNotNull() & (last["end"] >= i - w)
-        grown = F.when(joins, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), i.alias("end"))))).otherwise(F.concat(acc["out"], F.array(F.struct((i - w).alias("start"), i.alias("end")))))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when((i >= w) & (total <= most), grown).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def block(codes: Column, first: Column) -> Column:
+        """Spans of the windows that start at first, first + 1, ..."""
+        start = F.struct(F.array_repeat(F.lit(0), len(cls.alphabet) + 1).alias("counts"), F.lit(0.0).alias("sum"), none.alias("out"))
+        steps = F.sequence(first, F.least(first + BLOCK + w - 2, F.size(codes) - 1))
+
+        def step(acc: Column, i: Column) -> Column:
+            moved = F.struct(codes[i].alias("came"), F.when(i - first >= w, codes[i - w]).otherwise(F.lit(0)).alias("gone"))
+            return _bound(moved, lambda x: turn(acc, i + 1, x["came"], x["gone"]))
+
+        def turn(acc: Column, end: Column, came: Column, gone: Column) -> Column:
+            counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == came, 1).otherwise(0) - F.when((k == gone) & (gone > 0), 1).otherwise(0))
+            up = weight[acc["counts"][came] + 1] - weight[acc["counts"][came]]
+            down = F.when(gone > 0, weight[acc["counts"][gone] - 1] - weight[acc["counts"][gone]]).otherwise(0.0)
+            total = acc["sum"] + F.when(came == gone, 0.0).otherwise(up + down)
+            last = F.try_element_at(acc["out"], F.lit(-1))
+            joins = last.isNotNull() & (last["end"] >= end - w)
+            grown = F.when(joins, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))).otherwise(F.concat(acc["out"], F.array(F.struct((end - w).alias("start"), end.alias("end")))))
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.when((end - first >= w) & (total <= most), grown).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+    def joined(spans: Column) -> Column:
+        """Spans in order, those that touch or overlap made one. Ends ascend with starts."""
+        firsts = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["end"] < s["start"]))
+        lasts = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] > s["end"]))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+    codes = F.transform(F.split(candidate, ""), lambda c: F.position(c, F.lit(cls.alphabet)))
+    windows = F.greatest(F.char_length(candidate) - w + 1, F.lit(0))
+    return _bound(_bound(codes, lambda c: F.flatten(F.transform(_blocks(windows, 0), lambda first: block(c, first)))), joined)
 
 
 def _entropy(text: Column, cls: CharacterClass, kind: int, allowed: tuple[str, ...]) -> Column:
