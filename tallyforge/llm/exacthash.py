@@ -9,13 +9,16 @@ original text stays, then the smallest identifier, then the first row.
 2. The hash space is dealt in ranges. The owner task of a range puts the texts
    into an extendible-hash index: a full bucket splits, and the directory
    doubles when a splitting bucket is as deep as it. Entries of one hash chain,
-   and only equal bytes are equal texts. The owner writes its index to the
-   shared folder and tells each folded row its class.
-3. Rows find their class by a join on the folded row. No key of that join holds
-   more rows than one input task.
+   and only equal bytes are equal texts. The owner writes its index, with the
+   folded rows that each entry stands for, to the shared folder.
+3. The index files are read back, entry by entry in bucket order, which gives
+   each folded row its class. Rows find theirs by a join on the folded row. No
+   key of that join holds more rows than one input task.
 
 Null text counts as empty; a null identifier sorts after all others; repeated
 rows are copies of each other, of which one stays; an empty table gives none.
+A text is held whole, in one task, whatever its length; extra columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -99,8 +102,11 @@ class ExtendibleHash:
         for slot in range(low, len(self.directory), bit):
             self.directory[slot] = halves[bool(slot & bit)]
 
-    def save(self, sink, values: np.ndarray) -> None:
-        """Write directory, buckets, entries and compressed pages of text. values: 64-bit rows, one for each entry."""
+    def save(self, sink, values: np.ndarray, refs: np.ndarray | None = None) -> None:
+        """Write directory, buckets, entries, references and compressed pages of text.
+
+        values: 64-bit rows, one for each entry; refs: (entry, reference) rows.
+        """
         buckets = list({id(b): b for b in self.directory}.values())
         number = {id(b): i for i, b in enumerate(buckets)}
         order = [e for b in buckets for e in b.entries]
@@ -109,8 +115,13 @@ class ExtendibleHash:
         heap = b"".join(self.texts[e] for e in order)
         pages = [zstandard.ZstdCompressor(level=1).compress(heap[i : i + PAGE]) for i in range(0, len(heap), PAGE)]
         values = np.ascontiguousarray(values, "<i8").reshape(len(self.texts), -1)
+        refs = np.zeros((0, 2), np.int64) if refs is None else refs
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        of = rank[refs[:, 0]] if len(refs) else np.zeros(0, np.int64)
+        ref_ends = np.cumsum(np.bincount(of, minlength=len(order))).astype("<u8")
         sink.write(HEAD.pack(MAGIC, self.depth, len(buckets), len(order), len(pages)) + struct.pack("<I", values.shape[1] if len(order) else 0))
-        for x in (np.array([number[id(b)] for b in self.directory], "<u4"), np.cumsum([len(b.entries) for b in buckets]).astype("<u8"), np.array([self.hashes[e] for e in order], "<u8"), at.astype("<u8"), sizes.astype("<u8"), values[order], np.cumsum([len(p) for p in pages]).astype("<u8")):
+        for x in (np.array([number[id(b)] for b in self.directory], "<u4"), np.cumsum([len(b.entries) for b in buckets]).astype("<u8"), np.array([self.hashes[e] for e in order], "<u8"), at.astype("<u8"), sizes.astype("<u8"), values[order], ref_ends, refs[np.argsort(of, kind="stable"), 1].astype("<i8"), np.cumsum([len(p) for p in pages]).astype("<u8")):
             sink.write(x.tobytes())
         for p in pages:
             sink.write(p)
@@ -130,6 +141,8 @@ class SavedIndex:
         self.directory, self.ends = take("<u4", 1 << self.depth), take("<u8", buckets)
         self.hashes, self.at, self.sizes = (take("<u8", entries) for _ in range(3))
         self.values = take("<i8", entries * width).reshape(entries, width)
+        self.ref_ends = take("<u8", entries)
+        self.refs = take("<i8", int(self.ref_ends[-1]) if entries else 0)
         self.page_ends, self.base = take("<u8", pages), self.source.tell()
 
     def _text(self, e: int) -> bytes:
@@ -140,6 +153,21 @@ class SavedIndex:
             out += zstandard.ZstdDecompressor().decompress(self.source.read(int(self.page_ends[p]) - begin))
         return out[low % PAGE : low % PAGE + high - low]
 
+    def entries(self):
+        """(text, values, references) of each entry, in bucket order; a page is read once."""
+        page, held = -1, b""
+        for e in range(len(self.hashes)):
+            low, left, parts = int(self.at[e]), int(self.sizes[e]), []
+            while left:
+                if low // PAGE != page:
+                    page = low // PAGE
+                    begin = int(self.page_ends[page - 1]) if page else 0
+                    self.source.seek(self.base + begin)
+                    held = zstandard.ZstdDecompressor().decompress(self.source.read(int(self.page_ends[page]) - begin))
+                parts.append(held[low % PAGE : low % PAGE + left])
+                low, left = low + len(parts[-1]), left - len(parts[-1])
+            yield b"".join(parts), self.values[e], self.refs[int(self.ref_ends[e - 1]) if e else 0 : int(self.ref_ends[e])]
+
     def get(self, text: bytes) -> np.ndarray | None:
         """The values of the entry with this text."""
         h = self.hash_of(text)
@@ -205,8 +233,8 @@ def folded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(rows.mapInArrow(fold, "id long, points long, row long, local long, hash long, text binary, size long, members long"), "folded")
 
 
-def assigned(table: DataFrame, folder: str) -> DataFrame:
-    """local, keep_id, keep_row, group_size, sha256, index for each class row; the owners' indexes are left in folder."""
+def write_indexes(table: DataFrame, folder: str) -> DataFrame:
+    """Index the class rows by key ranges; returns the manifest (index, entries) of files in folder."""
     spark = table.sparkSession
     classes = table.filter("hash IS NOT NULL").select("id", "points", "row", "local", "hash", "text", "members")
     total = table.agg(F.sum("size")).first()[0] or 0
@@ -233,23 +261,38 @@ def assigned(table: DataFrame, folder: str) -> DataFrame:
         files, path = filesystem(uri)
         files.create_dir(path.rpartition("/")[0], recursive=True)
         with files.open_output_stream(path, compression=None) as sink:
-            index.save(sink, np.array([(b[1] is not None, b[1] or 0, b[2], m) for b, m in zip(best, members, strict=True)], np.int64))
-        digests = [hashlib.sha256(t).hexdigest() for t in index.texts]
-        for i in range(0, len(refs), 5000):
-            part = refs[i : i + 5000]
-            yield pa.RecordBatch.from_pydict(
-                {"local": pa.array(locals_[i : i + 5000], pa.int64()), "keep_id": pa.array([best[e][1] for e in part], pa.int64()), "keep_row": pa.array([best[e][2] for e in part], pa.int64()), "group_size": pa.array([members[e] for e in part], pa.int64()),
-                 "sha256": pa.array([digests[e] for e in part], pa.string()), "index": pa.array([uri] * len(part), pa.string())}
-            )
+            index.save(sink, np.array([(b[1] is not None, b[1] or 0, b[2], m) for b, m in zip(best, members, strict=True)], np.int64), np.array([refs, locals_], np.int64).T)
+        yield pa.RecordBatch.from_pydict({"index": [uri], "entries": pa.array([len(index.texts)], pa.int64())})
 
     dealt = classes.repartitionById(1 << bits, owner)
-    return stored(dealt.mapInArrow(own, "local long, keep_id long, keep_row long, group_size long, sha256 string, index string"), "classes")
+    return stored(dealt.mapInArrow(own, "index string, entries long"), "indexes")
+
+
+def assigned(manifest: DataFrame) -> DataFrame:
+    """local, keep_id, keep_row, group_size, sha256, index for each class row, read from the index files of a manifest."""
+
+    def read(batches):
+        names, kinds = ("local", "keep_id", "keep_row", "group_size", "sha256", "index"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                rows = []
+                for text, (known, key, row, members), refs in SavedIndex(uri).entries():
+                    digest = hashlib.sha256(text).hexdigest()
+                    rows += [(local, int(key) if known else None, int(row), int(members), digest, uri) for local in refs.tolist()]
+                    if len(rows) >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    files = max(1, manifest.count())
+    return manifest.select("index").repartitionByRange(files, "index").mapInArrow(read, "local long, keep_id long, keep_row long, group_size long, sha256 string, index string")
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """A row for each row of docs: id, row, keep_id, group_size, kept, sha256, index (the file that holds its class)."""
     table = folded(docs, id_col, text_col)
-    classes = assigned(table, folder or scratch(docs.sparkSession, "index"))
+    classes = assigned(write_indexes(table, folder or scratch(docs.sparkSession, "index")))
     rows = table.filter("hash IS NULL").select("id", "row", "local")
     return rows.join(classes, "local").select("id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha256", "index")
 
@@ -269,11 +312,11 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """without_duplicates for tables whose identifiers repeat: rows get numbers of their own in a stored copy."""
-    copy = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    copy = stored(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     # the operator's order, with the original identifier as the second key, comes from a rank over distinct classes
-    best = duplicates(copy.select(F.col("__row").alias(id_col), F.col(text_col)), id_col, text_col).select(F.col("id").alias("__row"), "sha256")
-    ranked = copy.select("__row", F.col(id_col).cast("long").alias("__id"), F.char_length(text).alias("__points")).join(best, "__row")
-    order = F.struct(-F.col("__points"), F.col("__id").isNull(), F.coalesce("__id", F.lit(0)), F.col("__row"))
-    stay = ranked.groupBy("sha256").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
-    return copy.join(stay, "__row", "left_semi").drop("__row")
+    best = duplicates(copy.select("n", text.alias("text")), "n", "text").select(F.col("id").alias("n"), "sha256")
+    ranked = copy.select("n", F.col("row")[id_col].cast("long").alias("id"), F.char_length(text).alias("points")).join(best, "n")
+    order = F.struct(-F.col("points"), F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("n"))
+    stay = ranked.groupBy("sha256").agg(F.min(order).alias("first")).select(F.col("first.n").alias("n"))
+    return copy.join(stay, "n", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
