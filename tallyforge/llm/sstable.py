@@ -204,19 +204,23 @@ def open_shard(uri: str) -> Reader:
     return Reader(files.open_input_file(path), files.get_file_info(path).size)
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, block_bytes: int = 1 << 16) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, block_bytes: int = 1 << 16, shard_bytes: int = 128 << 20) -> DataFrame:
     """Encode every text and write shards in ascending key order; returns the manifest of committed shards.
 
     Columns: shard, path, entries, ids, bytes, first_key, last_key. Shards are a
-    range of identifiers each; rows of one identifier that exceed a partition
-    are dealt by the text's hash. Each attempt of a task writes a file of its
+    range of identifiers each, of about shard_bytes of text at most; rows of one
+    identifier that exceed a shard are dealt by the text's hash, and equal rows by
+    their place in the input. Each attempt of a task writes a file of its
     own name and only the attempt that ends is in the manifest, so lost or
     doubled tasks do no harm.
     """
     folder = folder or scratch(docs.sparkSession, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
     tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie)
+    dealt = rows.repartitionByRange(shards, "id", tie, "at").sortWithinPartitions("id", tie, "at").select("id", "text")
 
     def write(batches):
         enc, writer, files, sink, uri, ids, first, last = encoder(vocabulary), None, None, None, None, 0, None, None
