@@ -30,8 +30,10 @@ from tallyforge.llm.common import filesystem, scratch, slices, stored, task_id
 
 GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of a range that one task reads, and of the pieces in which it reads.
-RANGE, PIECE = 8 << 20, 1 << 18
+#: Bytes of a range that one task reads, at least and at most, and of the pieces in which it reads.
+RANGES, PIECE = (8 << 20, 256 << 20), 1 << 18
+#: Repeated payloads up to which their digests are broadcast: about 100 MB.
+MOST_REPEATED = 1_000_000
 
 
 def digest32(payload: bytes) -> str:
@@ -129,7 +131,9 @@ def with_references(pages: DataFrame, id_col: str, uri_col: str, payload_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     key = [F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size")]
     same = rows.select("id", *key).filter(F.col("size") >= least).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.select("*", *key).join(same, ["digest", "size"], "left")
+    same = stored(same, "repeated")
+    side = F.broadcast(same) if same.count() <= MOST_REPEATED else same  # beyond that, by a join on the digest
+    joined = rows.select("*", *key).join(side, ["digest", "size"], "left")
     return joined.select("id", "uri", "payload", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
@@ -166,12 +170,15 @@ def write_archives(rows: DataFrame, folder: str | None = None, most_bytes: int =
     return stored(rows.mapInArrow(write, "path string, bytes long, records long"), "archives")
 
 
-def read_archives(manifest: DataFrame, span: int = RANGE) -> DataFrame:
+def read_archives(manifest: DataFrame, span: int | None = None) -> DataFrame:
     """Every record of the archives: id, type, refers_to, uri, digest, http_bytes, payload (binary, null for revisits), payload_digest, path, at.
 
     payload_digest is computed from a response's payload, and is the header's
     for a revisit; a response whose header disagrees raises an error.
     """
+    if span is None:  # enough ranges for all tasks, but no more than needed
+        tasks = 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        span = min(max((manifest.agg(F.sum("bytes")).first()[0] or 0) // tasks, RANGES[0]), RANGES[1])
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(span).cast("long"))).alias("start"))
     names = ("id", "type", "refers_to", "uri", "digest", "http_bytes", "payload", "payload_digest", "path", "at")
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64())
