@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Each step is an aggregation to a minimum and a join, both of which Spark can
-split for nodes with very many links; the links never leave the cluster. Every
-step is written to the shared folder.
+Each step is an aggregation to a minimum, with partial minima before the shuffle,
+and a join; a node that holds a large share of all links is dealt to many parts
+of that join. The links never leave the cluster. Every step is written to the
+shared folder. Links without one of their nodes are left out.
 """
 
 from __future__ import annotations
@@ -12,18 +13,34 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored
 
+#: Parts to which a node's links are dealt if they are more than that fraction of all.
+PARTS = 64
+
+
+def _joined(links: DataFrame, least: DataFrame, node: str) -> DataFrame:
+    """links with the `least` of their node; least: node, least, n (its links)."""
+    least = stored(least, "least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in least.filter(F.col("n") * PARTS > total).select(node).collect()]  # fewer than PARTS, as each holds more than a PARTS-th
+    if not hot:
+        return links.join(least.drop("n"), node)
+    of_hot = F.col(node).isin(hot)
+    dealt = links.withColumn("part", F.when(of_hot, F.pmod(F.xxhash64("high", "low"), F.lit(PARTS)).cast("int")).otherwise(0))
+    copies = least.drop("n").withColumn("part", F.explode(F.when(of_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [node, "part"]).drop("part")
+
 
 def _large(links: DataFrame) -> DataFrame:
     """Join every larger neighbour of a node to the smallest node around it."""
     both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
-    least = both.groupBy(F.col("high").alias("low")).agg(F.min(F.least("high", "low")).alias("least"))
-    return links.join(least, "low").select("high", F.col("least").alias("low")).distinct()
+    least = both.groupBy(F.col("high").alias("low")).agg(F.min(F.least("high", "low")).alias("least"), F.count("*").alias("n"))
+    return _joined(links, least, "low").select("high", F.col("least").alias("low")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Join a node and its smaller neighbours to the smallest of them."""
-    least = links.groupBy("high").agg(F.min("low").alias("least"))
-    moved = links.join(least, "high").filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+    least = links.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    moved = _joined(links, least, "high").filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
     return moved.unionByName(least.select("high", F.col("least").alias("low"))).distinct()
 
 
@@ -33,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
     links: (high, low) of one orderable type with high > low; repeated links and
     an empty table are allowed.
     """
-    links = stored(links.distinct(), "links")
+    links = stored(links.filter("high IS NOT NULL AND low IS NOT NULL").distinct(), "links")
     seen = None
     while True:
         links = stored(_small(stored(_large(links), "links")), "links")

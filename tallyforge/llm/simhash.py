@@ -23,8 +23,6 @@ sets instead, checked set against set; see the note above SAMPLE_DOCS.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -196,30 +194,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     return _components(table, links(stored(table.select("fp").distinct(), "distinct"), radius))
 
 
-# Fingerprints of several lanes, for a similarity of shingles rather than a few bits: an
-# estimate that the tests compare with; links go by the sets themselves, below.
-
-LANES = 4
-
-
-def wide_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> bytes:
-    """`lanes` fingerprints end to end; the hashes of each lane are mixed from the first one's."""
-    counts = np.zeros(64 * lanes, np.int64)
-    odd = (np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for i in range(0, len(hashes), 1 << 14):
-        h = hashes[i : i + (1 << 14), None] * odd
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))).astype("<u8")
-        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
-
-
-def radius_of(similarity: float, bits: int, margin: float = 1.0) -> int:
-    """The distance of fingerprints of equally large shingle sets of that Jaccard similarity, and `margin` standard deviations more, so that few pairs at the similarity itself are missed."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + margin * math.sqrt(bits * share * (1 - share)))
-
-
 # Pairs by the Jaccard similarity of their shingle sets itself. In any order of all
 # shingles, two sets of that similarity share one of their first few (prefix filter);
 # with the shingles that are frequent in a sample last, few unrelated sets do. The
