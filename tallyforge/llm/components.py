@@ -1,6 +1,8 @@
-"""Connected components of a link table, by alternating large and small stars.
+"""Connected components of a link table.
 
-Each step is an aggregation to a minimum, with partial minima before the shuffle,
+Every partition first reduces its own links to a spanning forest of stars. Up to
+MOST_IN_TASK links that remain, a checked number, one task joins those; beyond
+that they are joined by alternating large and small stars. There, each step is an aggregation to a minimum, with partial minima before the shuffle,
 and a join; a node that holds a large share of all links is dealt to many parts
 of that join. The links never leave the cluster. Every step is written to the
 shared folder. Links without one of their nodes are left out.
@@ -8,11 +10,14 @@ shared folder. Links without one of their nodes are left out.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stored
 
+#: Links that one task joins at most: 16 MB.
+MOST_IN_TASK = 1_000_000
 #: Parts to which a node's links are dealt if they are more than that fraction of all.
 PARTS = 64
 
@@ -44,13 +49,41 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("high", F.col("least").alias("low"))).distinct()
 
 
+def _forest(batches):
+    """The links of a task as stars: every linked node but the smallest of its group, with that smallest."""
+    root: dict = {}
+
+    def find(x):
+        top = x
+        while root.get(top, top) != top:
+            top = root[top]
+        while root.get(x, x) != top:
+            root[x], x = top, root[x]
+        return top
+
+    names, kinds = ["high", "low"], None
+    for batch in batches:
+        kinds = [batch.schema.field(n).type for n in names]
+        for pair in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            a, b = map(find, pair)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    for at in range(0, len(nodes), 10_000):
+        part = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kinds[0]), pa.array([find(x) for x in part], kinds[1])], names)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(high, low): every linked node but the smallest of its component, with that smallest.
 
     links: (high, low) of one orderable type with high > low; repeated links and
     an empty table are allowed.
     """
-    links = stored(links.filter("high IS NOT NULL AND low IS NOT NULL").distinct(), "links")
+    sound = links.select("high", "low").filter("high IS NOT NULL AND low IS NOT NULL")
+    links = stored(sound.mapInArrow(_forest, sound.schema), "links")
+    if links.count() <= MOST_IN_TASK:
+        return stored(links.coalesce(1).mapInArrow(_forest, links.schema), "links")
     seen = None
     while True:
         links = stored(_small(stored(_large(links), "links")), "links")

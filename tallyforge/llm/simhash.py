@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
 #: Documents whose shingles are counted for the order, and frequent shingles held.
 SAMPLE_DOCS, MOST_FREQUENT = 20_000, 200_000
 #: Times at most that leaders are drawn before all pairs left are compared.
-LEADER_TURNS = 12
+LEADER_TURNS = 5
 #: Bits that say which sets are wanted; with more sets than a quarter of them, all sets are dealt.
 WANTED_BITS = 1 << 26
 
@@ -287,7 +287,7 @@ def _few(token: np.ndarray, key: np.ndarray, at: np.ndarray, similarity: float,
     return *_pairs(keys, others), size > most
 
 
-def _led(key: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float, turn: int, leaders: int = 4) -> tuple[list, list]:
+def _led(key: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float, turn: int, leaders: int = 8) -> tuple[list, list]:
     """Possible pairs of a list's rows and a few of them, of different components."""
     keys, others, order = [], [], np.argsort(_mix(key, turn))
     _, first = np.unique(root[order], return_index=True)

@@ -544,7 +544,9 @@ def test_stages_on_awkward_rows(spark, docs, none):
     assert sorted((r.doc_id for r in got), key=repr) == sorted({d for d, _ in DOCS}, key=repr) and all(r.n >= 1 for r in got)
 
 
-def test_components_of_a_hot_node(spark):
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_components_of_a_hot_node(spark, most, monkeypatch):
+    monkeypatch.setattr(components, "MOST_IN_TASK", most)
     links = [(i, 0) for i in range(1, 3000)] + [(5000 + i, 4999 + i) for i in range(40)] + [(None, 3), (7, None), (2, 1)]
     got = {r.high: r.low for r in components.components(spark.createDataFrame(links, "high long, low long")).collect()}
     assert got == {i: 0 for i in range(1, 3000)} | {5000 + i: 4999 for i in range(40)}
