@@ -41,7 +41,7 @@ def main(args: list[str] | None = None) -> None:
         topk_itemsets(data, a.k, a.test, a.alternative, closed=not a.all_sets).orderBy("rank").show(a.k, False)
     elif a.command == "profile":
         profile.summary(data).show(vertical=True)
-        profile.reduced_item_counts(data).orderBy("least").show(1000)
+        profile.reduced_item_counts(data).orderBy("least").show(1 << 30)
     else:
         writers.write_lines(writers.to_sparse(data) if a.command == "to-sparse" else writers.to_matrix(data), a.out)
 

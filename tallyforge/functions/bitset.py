@@ -75,8 +75,9 @@ def is_superset(a: Column, b: Column) -> Column:
 
 
 def bit_test(a: Column, i: Column | int) -> Column:
+    """Whether position i is set; beyond the last word none is."""
     i = F.lit(i) if isinstance(i, int) else i
-    return F.getbit(F.get(a, F.floor(i / WORD).cast("int")), F.pmod(i, F.lit(WORD)).cast("int")) == 1
+    return F.coalesce(F.getbit(F.get(a, F.floor(i / WORD).cast("int")), F.pmod(i, F.lit(WORD)).cast("int")) == 1, F.lit(False))
 
 
 def bit_set(a: Column, i: int, on: bool = True) -> Column:

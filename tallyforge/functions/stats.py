@@ -43,12 +43,18 @@ def log_hypergeometric(a: Column, x: Column, total: int, positive: int) -> Colum
 
 
 def normal_tail(z: Column) -> Column:
-    """P(Z > |z|) by continued fractions of twenty terms: near the middle that of the distribution function, beyond 2.5 that of the tail."""
+    """P(Z > |z|): below 3 a half less the Taylor series of the distribution function over the density, from there Laplace's continued fraction."""
     y = F.abs(z)
-    density = F.exp(-y * y / 2) * (1 / math.sqrt(2 * math.pi))
-    inner = F.aggregate(F.sequence(F.lit(20), F.lit(1), F.lit(-1)), F.lit(0.0), lambda p, i: F.when(i % 2 == 1, -1.0).otherwise(1.0) * i * y * y / (2.0 * i + 1 + p))
-    outer = F.aggregate(F.sequence(F.lit(20), F.lit(1), F.lit(-1)), F.lit(0.0), lambda p, i: i / (y + p))
-    return F.when(y < 2.5, 0.5 - density * y / (1 + inner)).otherwise(density / (y + outer))
+    density = F.exp(-y * y / 2) / math.sqrt(2 * math.pi)
+    zero = F.struct(y.alias("term"), y.alias("sum"))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] * y * y / (2.0 * k + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(50)), zero, add, lambda acc: acc["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), y, lambda x, k: y + k / x)
+    return F.when(y < 3, 0.5 - density * series).otherwise(density / fraction)
 
 
 @dataclass(frozen=True)
@@ -92,7 +98,8 @@ class Fisher(Test):
         low, high = F.greatest(F.lit(0), x + (self.positive - self.total)), F.least(x, F.lit(self.positive))
         first = low if self.alternative == "two.sided" else t
         own = log_hypergeometric(t, x, self.total, self.positive)
-        most = own + 1e-7 if self.alternative == "two.sided" else F.lit(math.inf)
+        # tables up to 1e-16 likelier than the own one count as no likelier, as results have to follow that rule
+        most = F.log(F.exp(own) * (1 + 1e-7) + 1e-16) if self.alternative == "two.sided" else F.lit(math.inf)
         lead = F.struct(log_hypergeometric(first, x, self.total, self.positive).alias("log"), most.alias("most"))
 
         def tail(start: Column) -> Column:

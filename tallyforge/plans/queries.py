@@ -1,9 +1,10 @@
 """The pattern-mining operators over the standard tables, and the same in SQL.
 
-Baskets: an order's part types (six items) or its brands below Brand#19 (ten).
-Labels: an order's status, its priority or whether it has five lines or more, or its
-total price for the rank test. The
-SQL enumerates all item sets as bit masks, which only so few items allow.
+Baskets: an order's part types (six items), or the column and row of its brands'
+numbers, laid out five in a row (ten items, two for each line). Labels: an order's
+status, its priority or whether it has five lines or more, or its total price for
+the rank test. All rows of the tables count. The SQL enumerates all item sets as
+bit masks, which so few items allow.
 """
 
 from __future__ import annotations
@@ -23,27 +24,29 @@ from tallyforge.sources import writers
 from tallyforge.streaming.support import windowed_support
 
 ALPHA = 0.05
-#: basket: (item column, filter on part, items, SQL of the positive label)
-BASKETS = {"types": ("p_type", "TRUE", 6, "o_orderstatus = 'F'"), "brands": ("p_brand", "p_brand < 'Brand#19'", 10, "o_orderpriority = '1-URGENT'"), "large": ("p_brand", "p_brand < 'Brand#19'", 10, "lines >= 5")}
+#: Of Brand#1 to Brand#25.
+_BRAND = ("concat('c', (cast(substr(p_brand, 7) AS int) - 1) % 5)", "concat('r', cast(floor((cast(substr(p_brand, 7) AS int) - 1) / 5) AS int))")
+#: basket: (items of a part, number of all items, SQL of the positive label)
+BASKETS = {"types": (("p_type",), 6, "o_orderstatus = 'F'"), "brands": (_BRAND, 10, "o_orderpriority = '1-URGENT'"), "large": (_BRAND, 10, "lines >= 5")}
 
 
 def dataset(spark: SparkSession, sf_dir: str, basket: str = "types") -> Dataset:
-    item, part_filter, _, positive = BASKETS[basket]
+    items, _, positive = BASKETS[basket]
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").filter(part_filter).select("p_partkey", item)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.explode(F.array(*map(F.expr, items))).alias("item"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     sizes = lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"))
     if "lines" in positive:
         orders = orders.join(sizes, orders["o_orderkey"] == sizes["l_orderkey"], "left").fillna(0, ["lines"])
     labels = orders.select(F.col("o_orderkey").alias("tid"), F.expr(positive).alias("is_pos"), F.col("o_totalprice").alias("value"))
-    rows = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(F.col("l_orderkey").alias("tid"), F.col(item).alias("item"))
+    rows = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(F.col("l_orderkey").alias("tid"), "item")
     return Dataset.of(rows, labels)
 
 
 def _ctes(basket: str) -> str:
-    item, part_filter, k, positive = BASKETS[basket]
+    items, k, positive = BASKETS[basket]
     return f"""
-WITH b AS (SELECT DISTINCT l_orderkey AS tid, {item} AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {part_filter}),
+WITH b AS (SELECT DISTINCT l_orderkey AS tid, item FROM lineitem JOIN (SELECT p_partkey, unnest([{", ".join(items)}]) AS item FROM part) ON l_partkey = p_partkey),
 items AS (SELECT item, (row_number() OVER (ORDER BY item) - 1)::INT AS i FROM (SELECT DISTINCT item FROM b)),
 lab AS (SELECT o_orderkey AS tid, coalesce({positive}, FALSE)::INT AS pos, o_totalprice AS v, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS r FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey),
 tot AS (SELECT count(*) AS nn, sum(pos)::BIGINT AS np FROM lab),
@@ -65,12 +68,9 @@ def _rounded(df: DataFrame, **columns: int) -> DataFrame:
 
 
 def normal_tail_sql(z: str) -> str:
-    inner = outer = "0.0"
-    for i in range(20, 0, -1):
-        inner = f"({-i if i % 2 else i}.0 * y * y / ({2 * i + 1}.0 + {inner}))"
-        outer = f"({i}.0 / (y + {outer}))"
-    density = "exp(-y * y / 2) / sqrt(2 * pi())"
-    return f"(SELECT CASE WHEN y < 2.5 THEN 0.5 - {density} * y / (1 + {inner}) ELSE {density} / (y + {outer}) END FROM (SELECT abs({z}) AS y))"
+    """The density at |z| times the integral of exp(-yt - t^2 / 2) over t from 0 to where nothing is left, by Simpson's rule."""
+    weight = "CASE WHEN i = 0 OR i = 1600 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(SELECT exp(-y * y / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 1601), lambda i: {weight} * exp(-(y * i * h) - (i * h) * (i * h) / 2))) * h / 3 FROM (SELECT y, least(9.0, 40 / (y + 1)) / 1600 AS h FROM (SELECT abs({z})::DOUBLE AS y)))"
 
 
 def _chi_sql(x: str, t: str, n: str, nn: str) -> str:
@@ -205,23 +205,29 @@ def mid_ranks(spark, d):
     return dataset(spark, d).mid_ranks()
 
 
-# bit sets over the users of an event type
+# bit sets over the users of an event type: those of even and of odd hours
 
 
-@query("""WITH e AS (SELECT DISTINCT event_type AS k, user_id AS u FROM events), n AS (SELECT max(u) + 1 AS n FROM e)
-SELECT a.k AS a, c.k AS b, count(*) FILTER (a.has AND c.has)::BIGINT AS both, count(*) FILTER (a.has OR c.has)::BIGINT AS either, count(*) FILTER (a.has <> c.has)::BIGINT AS one, count(*) FILTER (a.has AND NOT c.has)::BIGINT AS only_a, count(*) FILTER (NOT a.has)::BIGINT AS not_a,
-min(a.u) FILTER (a.has)::INT AS first, min(a.u) FILTER (a.has AND a.u > 70)::INT AS next, bool_or(a.has AND a.u = 65)::INT AS has_65, bool_and(NOT a.has OR c.has)::INT AS subset
-FROM (SELECT k, u, EXISTS (SELECT 1 FROM e WHERE e.k = kk.k AND e.u = uu.u) AS has FROM (SELECT DISTINCT k FROM e) kk, (SELECT unnest(range(0, (SELECT n FROM n))) AS u) uu) a
-JOIN (SELECT k, u, EXISTS (SELECT 1 FROM e WHERE e.k = kk.k AND e.u = uu.u) AS has FROM (SELECT DISTINCT k FROM e) kk, (SELECT unnest(range(0, (SELECT n FROM n))) AS u) uu) c USING (u) GROUP BY a.k, c.k""")
+def _users(parity: int) -> str:
+    return f"(SELECT k, u, EXISTS (SELECT 1 FROM e WHERE e.k = kk.k AND e.u = uu.u AND e.odd = {parity}) AS has FROM (SELECT DISTINCT k FROM e) kk, (SELECT unnest(range(0, (SELECT n FROM n))) AS u) uu)"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT event_type AS k, user_id AS u, hour(ts) % 2 AS odd FROM events), n AS (SELECT coalesce(max(u) + 1, 0) AS n FROM e)
+SELECT a.k AS k, count(*) FILTER (a.has AND c.has)::BIGINT AS both, count(*) FILTER (a.has OR c.has)::BIGINT AS either, count(*) FILTER (a.has <> c.has)::BIGINT AS one, count(*) FILTER (a.has AND NOT c.has)::BIGINT AS only_a, count(*) FILTER (NOT a.has)::BIGINT AS not_a,
+coalesce(min(a.u) FILTER (a.has), -1)::INT AS first, coalesce(min(a.u) FILTER (a.has AND a.u > 70), -1)::INT AS next, coalesce(bool_or(a.has AND a.u = 65), FALSE)::INT AS has_65, bool_and(NOT a.has OR c.has)::INT AS subset, bool_and(NOT c.has OR a.has)::INT AS superset,
+string_agg(CASE WHEN a.has THEN '1' ELSE '0' END, '' ORDER BY a.u DESC) AS bits
+FROM {_users(0)} a JOIN {_users(1)} c ON a.k = c.k AND a.u = c.u GROUP BY a.k""")
 def bitset_algebra(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("k"), F.col("user_id").alias("u")).distinct()
-    n = events.agg(F.max("u")).first()[0] + 1
-    sets = bitset.bits_of(events, "k", "u", n)
-    a, b = F.col("a.words"), F.col("b.words")
-    pairs = sets.alias("a").join(sets.alias("b"), F.lit(True))
-    return pairs.select(
-        F.col("a.k").alias("a"), F.col("b.k").alias("b"), bitset.and_count(a, b).alias("both"), bitset.or_count(a, b).alias("either"), bitset.xor_count(a, b).alias("one"), bitset.and_not_count(a, b).alias("only_a"), bitset.bits_count(bitset.bits_flip(a, n)).alias("not_a"),
-        bitset.find_first(a).cast("int").alias("first"), bitset.find_next(a, 70).cast("int").alias("next"), bitset.bit_test(a, 65).cast("int").alias("has_65"), bitset.is_subset(a, b).cast("int").alias("subset"),
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("k"), F.col("user_id").alias("u"), (F.hour("ts") % 2).alias("odd")).distinct()
+    n = int(events.agg(F.coalesce(F.max("u") + 1, F.lit(0))).first()[0])
+    even, odd = (bitset.bits_of(events.filter(F.col("odd") == o), "k", "u", n).withColumnRenamed("words", name) for o, name in ((0, "a"), (1, "b")))
+    none = bitset.bits_all(n, False)
+    sets = even.join(odd, "k", "full").select("k", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return sets.select(
+        "k", bitset.and_count(a, b).alias("both"), bitset.or_count(a, b).alias("either"), bitset.xor_count(a, b).alias("one"), bitset.and_not_count(a, b).alias("only_a"), bitset.bits_count(bitset.bits_flip(a, n)).alias("not_a"),
+        bitset.find_first(a).cast("int").alias("first"), bitset.find_next(a, 70).cast("int").alias("next"), bitset.bit_test(a, 65).cast("int").alias("has_65"), bitset.is_subset(a, b).cast("int").alias("subset"), bitset.is_superset(a, b).cast("int").alias("superset"),
+        bitset.bits_to_string(a, n).alias("bits"),
     )
 
 
@@ -316,7 +322,7 @@ def _kept(low: int, high: int) -> str:
 
 
 for _label, _args in {
-    "significant_patterns": ("large", "fisher", "greater", 0, 0), "significant_chi": ("large", "chi", "greater", 0, 0), "best_significant": ("large", "fisher", "two.sided", 0, 7), "at_least_m": ("brands", "fisher", "greater", 12, 0), "at_most_n": ("types", "u_test", "greater", 0, 3), "m_to_n": ("types", "u_test", "greater", 5, 8),
+    "significant_patterns": ("large", "fisher", "greater", 0, 0), "significant_chi": ("large", "chi", "greater", 0, 0), "best_significant": ("large", "fisher", "two.sided", 0, 7), "at_least_m": ("brands", "fisher", "greater", 12, 0), "at_most_n": ("large", "fisher", "greater", 0, 3), "m_to_n": ("large", "chi", "greater", 5, 8),
     "mine_chi_two_sided": ("brands", "chi", "two.sided", 10, 0), "mine_fisher_less": ("types", "fisher", "less", 10, 0), "mine_utest_two_sided": ("brands", "u_test", "two.sided", 10, 0),
 }.items():
     query(_pipeline_sql(*_args[:3], _ROWS.format(alpha=ALPHA, keep=_kept(*_args[3:]))), _label)(_patterns(*_args))

@@ -5,6 +5,8 @@ import math
 import random
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,7 +223,7 @@ def test_streaming_support(spark, tmp_path):
 
 def _norm(df):
     df = df[sorted(df.columns)]
-    return sorted(repr([None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in r]) for r in df.astype(object).values.tolist())
+    return sorted(repr([None if x is None or (not isinstance(x, (list, np.ndarray)) and pd.isna(x)) else x.item() if hasattr(x, "item") else x for x in r]) for r in df.astype(object).values.tolist())
 
 
 QUICK = ("summary", "bitset_algebra", "closed_sets", "fisher_two_sided", "utest_two_sided", "pmin_chi", "significant_patterns", "topk_itemsets", "windowed_item_support")
