@@ -262,6 +262,14 @@ def _bounds(token: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
 
 
+def _once(token: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set once in a list, by key, however many documents have it."""
+    order = np.lexsort((key, token))
+    token, key, at = token[order], key[order], at[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))
+    return token[new], key[new], at[new]
+
+
 def _pairs(keys: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (high, low)."""
     a, b = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *others])
@@ -358,6 +366,7 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
 
     def start(batches):
         for token, key, at in _lists(batches, ["token", "key", "at"]):
+            token, key, at = _once(token, key, at)
             high, low, large = _few(token, key, at, similarity, most)
             if len(high):
                 yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.nulls(len(high), pa.int64()), pa.nulls(len(high), pa.int64())], ["key", "low", "token", "at"])
@@ -367,7 +376,7 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
     postings = docs.select("text").mapInArrow(deal, "token long, key long, at long")
     dealt = stored(postings.repartition("token").sortWithinPartitions("token").mapInArrow(start, "key long, low long, token long, at long"), "lists")
     pairs = stored(dealt.filter("low IS NOT NULL").select(F.col("key").alias("high"), "low").distinct(), "pairs")
-    large = stored(dealt.filter("token IS NOT NULL").select("token", "key", "at").distinct(), "large")
+    large = dealt.filter("token IS NOT NULL").select("token", "key", "at")
 
     wanted = stored(pairs.select(F.explode(F.array("high", "low")).alias("key")).union(large.select("key")).distinct(), "wanted")
     bits = None
@@ -391,10 +400,10 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
 
     sets = docs.select("text").mapInArrow(sets_of, "key long, hashes binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
     sets = stored(sets, "sets")
-    links = _alike(pairs, sets, similarity)
+    links = components(_alike(pairs, sets, similarity))
     turn, last = 0, not large.limit(1).count()
     while not last:
-        star = components(links).select(F.col("high").alias("key"), F.col("low").alias("root"))
+        star = links.select(F.col("high").alias("key"), F.col("low").alias("root"))
         rooted = large.join(star, "key", "left").select("token", "key", "at", F.coalesce("root", "key").alias("root"))
         last = turn == LEADER_TURNS
 
@@ -416,7 +425,7 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
         tried = stored(rooted.repartition("token").sortWithinPartitions("token").mapInArrow(search, "high long, low long").distinct(), "tried")
         more = _alike(tried, sets, similarity)
         many, joined = tried.count(), more.count()
-        links = stored(links.unionByName(more), "links")
+        links = components(links.unionByName(more))
         if not many:
             break
         turn = LEADER_TURNS if joined * 20 < many else turn + 1
