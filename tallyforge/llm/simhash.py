@@ -201,7 +201,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
 
 #: Documents whose shingles are counted for the order, and frequent shingles held.
 SAMPLE_DOCS, MOST_FREQUENT = 20_000, 200_000
-#: Times at most that leaders are drawn before all pairs left are compared.
+#: Bits of a set's sketch. Sets of over twice as many shingles are told apart by their places in lists alone.
+SKETCH_BITS = 4096
+#: Times at most that leaders are drawn.
 LEADER_TURNS = 5
 #: Bits that say which sets are wanted; with more sets than a quarter of them, all sets are dealt.
 WANTED_BITS = 1 << 26
@@ -244,11 +246,18 @@ def _frequent(texts: DataFrame, rows: int, words: int, seed: int) -> tuple[np.nd
     return h[order], n[order]
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """Numbers, or, of binary values of one length, rows of 64-bit words."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy()
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+
+
 def _lists(batches, columns: list[str]):
     """Arrays of whole lists, from rows sorted by token; a list may go on in the next batch."""
     held = None
     for batch in batches:
-        now = [batch.column(c).to_numpy() for c in columns]
+        now = [_rows(batch.column(c)) for c in columns]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         last = int(np.flatnonzero(np.diff(held[0], prepend=held[0][0]))[-1]) if len(held[0]) and held[0][0] != held[0][-1] else 0
         if last:
@@ -295,28 +304,61 @@ def _few(token: np.ndarray, key: np.ndarray, at: np.ndarray, similarity: float,
     return *_pairs(keys, others), size > most
 
 
-def _led(key: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float, turn: int, leaders: int = 8) -> tuple[list, list]:
+def _sketch(hashes: np.ndarray) -> bytes:
+    """For each residue of the shingles modulo SKETCH_BITS, whether an odd number has it. Bits that differ each stand for a shingle that only one of two sets has."""
+    odd = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _close(at: np.ndarray, sketch: np.ndarray, other_at: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches (rows of 64-bit words) leave room for similarity: sets of n and m shingles may differ in that share of n + m."""
+    differ = np.bitwise_count(sketch ^ other).sum(-1, dtype=np.int64)
+    return differ * (1 + similarity) <= ((at >> 32) + (other_at >> 32)) * (1 - similarity) + 1e-6
+
+
+def _led(key: np.ndarray, at: np.ndarray, root: np.ndarray, sketch: np.ndarray, similarity: float, turn: int, leaders: int = 8) -> tuple[list, list]:
     """Possible pairs of a list's rows and a few of them, of different components."""
     keys, others, order = [], [], np.argsort(_mix(key, turn))
     _, first = np.unique(root[order], return_index=True)
     for i in order[np.sort(first)[:leaders]]:
         x = np.flatnonzero((root != root[i]) & _may(at, at[i], similarity))
+        x = x[_close(at[x], sketch[x], at[i], sketch[i], similarity)]
         keys.append(key[x])
         others.append(np.full(len(x), key[i]))
     return keys, others
 
 
-def _crossed(key: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float, block: int = 256):
+def _spanned(key: np.ndarray, at: np.ndarray, root: np.ndarray, sketch: np.ndarray, similarity: float):
+    """Of a list's possible pairs of different components, as many as would join all that they could join if each held: fewer than rows."""
+    order = np.argsort(at)
+    key, at, root, sketch = key[order], at[order], root[order], sketch[order]
+    n = at >> 32
+    for i in range(len(key) - 1):
+        end = int(np.searchsorted(n, n[i] / similarity + 1, "right"))
+        x = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+        x = x[_may(at[x], at[i], similarity)]
+        x = x[_close(at[x], sketch[x], at[i], sketch[i], similarity)]
+        if len(x):
+            joined, first = np.unique(root[x], return_index=True)
+            yield np.full(len(first), key[i]), key[x[first]]
+            root[np.isin(root, joined)] = root[i]
+
+
+def _crossed(key: np.ndarray, at: np.ndarray, root: np.ndarray, sketch: np.ndarray, similarity: float, block: int = 64):
     """All possible pairs of a list's rows of different components, by blocks."""
     order = np.argsort(at)
-    key, at, root = key[order], at[order], root[order]
+    key, at, root, sketch = key[order], at[order], root[order], sketch[order]
     n = at >> 32
     for a in range(0, len(key), block):
         b = min(a + block, len(key))
         end = int(np.searchsorted(n, n[b - 1] / similarity + 1, "right"))
         i, j = np.nonzero((root[a:b, None] != root[None, a:end]) & _may(at[a:b, None], at[None, a:end], similarity))
-        ahead = a + i < a + j
-        yield key[a + i[ahead]], key[a + j[ahead]]
+        ahead = i < j
+        i, j = a + i[ahead], a + j[ahead]
+        for cut in range(0, len(i), 1 << 14):
+            x, y = i[cut : cut + (1 << 14)], j[cut : cut + (1 << 14)]
+            near = _close(at[x], sketch[x], at[y], sketch[y], similarity)
+            yield key[x[near]], key[y[near]]
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -329,6 +371,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
             yield batch.select(["high", "low"]).filter(pa.array(both >= similarity * union - 1e-9))
 
+    needed = pairs.select(F.explode(F.array("high", "low")).alias("key")).distinct()
+    sets = sets.join(needed, "key", "left_semi")  # before the sets are dealt
     one = pairs.join(sets.select(F.col("key").alias("high"), F.col("hashes").alias("x")), "high")
     both = one.join(sets.select(F.col("key").alias("low"), F.col("hashes").alias("y")), "low").select("high", "low", "x", "y")
     return stored(both.mapInArrow(work, "high long, low long"), "alike")
@@ -339,7 +383,9 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
 
     Lists of up to `most` sets that share an early shingle are compared whole. In
     a larger one a few leaders are compared first, over again while that joins
-    sets, and then all pairs that are not yet in one component.
+    many, then pairs that would span what is left, and, unless all of those hold,
+    all pairs that are not yet in one component. There, sketches leave out, inside
+    the task, pairs that are surely not similar.
     """
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(docs, rows, words, seed))  # at most 3 MB
@@ -398,23 +444,31 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
                     found.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "hashes"])
 
+    def sketched(batches):
+        for batch in slices(batches, 1000):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_sketch(np.frombuffer(h, np.uint64)) for h in batch.column(1).to_pylist()], pa.binary())], ["key", "sketch"])
+
     sets = docs.select("text").mapInArrow(sets_of, "key long, hashes binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
     sets = stored(sets, "sets")
+    sketches = stored(sets.join(large.select("key").distinct(), "key", "left_semi").mapInArrow(sketched, "key long, sketch binary"), "sketches")
     links = components(_alike(pairs, sets, similarity))
-    turn, last = 0, not large.limit(1).count()
-    while not last:
+    rows_left, turn, ways = large.count(), 0, ["leaders", "span", "all"]
+    while rows_left and ways:
         star = links.select(F.col("high").alias("key"), F.col("low").alias("root"))
-        rooted = large.join(star, "key", "left").select("token", "key", "at", F.coalesce("root", "key").alias("root"))
-        last = turn == LEADER_TURNS
+        rooted = large.join(star, "key", "left").join(sketches, "key").select("token", "key", "at", F.coalesce("root", "key").alias("root"), "sketch")
 
-        def search(batches, turn=turn, whole=last):
-            for columns in _lists(batches, ["token", "key", "at", "root"]):
+        def search(batches, turn=turn, way=ways[0]):
+            for columns in _lists(batches, ["token", "key", "at", "root", "sketch"]):
                 cuts, keys, others = _bounds(columns[0]), [], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    key, at, root = (x[a:b] for x in columns[1:])
+                    key, at, root, sketch = (x[a:b] for x in columns[1:])
                     if (root == root[0]).all():
                         continue
-                    for k, o in _crossed(key, at, root, similarity) if whole else zip(*_led(key, at, root, similarity, turn), strict=True):
+                    if way == "leaders":
+                        found = zip(*_led(key, at, root, sketch, similarity, turn), strict=True)
+                    else:
+                        found = (_spanned if way == "span" else _crossed)(key, at, root, sketch, similarity)
+                    for k, o in found:
                         keys.append(k)
                         others.append(o)
                         if sum(map(len, keys)) > 1 << 20:
@@ -426,9 +480,11 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
         more = _alike(tried, sets, similarity)
         many, joined = tried.count(), more.count()
         links = components(links.unionByName(more))
-        if not many:
-            break
-        turn = LEADER_TURNS if joined * 20 < many else turn + 1
+        turn += 1
+        if ways[0] != "leaders" or turn == LEADER_TURNS or joined * 20 < rows_left:
+            ways = ways[1:]
+        if ways == ["all"] and many == joined:
+            break  # every pair of the span held, so none is left
     return links
 
 
