@@ -85,6 +85,11 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what has ended, which it does once the driver's JVM collects their plans."""
+    spark._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) for a URI that executors open themselves."""
     from pyarrow import fs

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import slices, stored
+from tallyforge.llm.common import settle, slices, stored
 from tallyforge.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -361,8 +361,8 @@ def _crossed(key: np.ndarray, at: np.ndarray, root: np.ndarray, sketch: np.ndarr
             yield key[x[near]], key[y[near]]
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (high, low) whose sets (key, hashes) have that Jaccard similarity or more, written to the shared folder."""
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, few: bool = False) -> DataFrame:
+    """The (high, low) whose sets (key, hashes) have that Jaccard similarity or more, written to the shared folder. few: whether most sets are in no pair."""
 
     def work(batches):
         for batch in slices(batches, 1000):
@@ -371,11 +371,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
             yield batch.select(["high", "low"]).filter(pa.array(both >= similarity * union - 1e-9))
 
-    needed = pairs.select(F.explode(F.array("high", "low")).alias("key")).distinct()
-    sets = sets.join(needed, "key", "left_semi")  # before the sets are dealt
+    if few:
+        sets = sets.join(pairs.select(F.explode(F.array("high", "low")).alias("key")).distinct(), "key", "left_semi")  # before they are dealt
     one = pairs.join(sets.select(F.col("key").alias("high"), F.col("hashes").alias("x")), "high")
     both = one.join(sets.select(F.col("key").alias("low"), F.col("hashes").alias("y")), "low").select("high", "low", "x", "y")
-    return stored(both.mapInArrow(work, "high long, low long"), "alike")
+    found = stored(both.mapInArrow(work, "high long, low long"), "alike")
+    settle(pairs.sparkSession)
+    return found
 
 
 def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: int = 5, seed: int = 42, most: int = 32) -> DataFrame:
@@ -421,6 +423,7 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
 
     postings = docs.select("text").mapInArrow(deal, "token long, key long, at long")
     dealt = stored(postings.repartition("token").sortWithinPartitions("token").mapInArrow(start, "key long, low long, token long, at long"), "lists")
+    settle(spark)
     pairs = stored(dealt.filter("low IS NOT NULL").select(F.col("key").alias("high"), "low").distinct(), "pairs")
     large = dealt.filter("token IS NOT NULL").select("token", "key", "at")
 
@@ -450,6 +453,7 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
 
     sets = docs.select("text").mapInArrow(sets_of, "key long, hashes binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
     sets = stored(sets, "sets")
+    settle(spark)
     sketches = stored(sets.join(large.select("key").distinct(), "key", "left_semi").mapInArrow(sketched, "key long, sketch binary"), "sketches")
     links = components(_alike(pairs, sets, similarity))
     rows_left, turn, ways = large.count(), 0, ["leaders", "span", "all"]
@@ -477,7 +481,7 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(keys, others)], ["high", "low"])
 
         tried = stored(rooted.repartition("token").sortWithinPartitions("token").mapInArrow(search, "high long, low long").distinct(), "tried")
-        more = _alike(tried, sets, similarity)
+        more = _alike(tried, sets, similarity, few=True)
         many, joined = tried.count(), more.count()
         links = components(links.unionByName(more))
         turn += 1
