@@ -71,6 +71,30 @@ def _collected(merged: DataFrame, n_items: int) -> Matrix | None:
     return Matrix(n_items, [list(x) for x in rows["items"]], rows["n"], rows["n_pos"], rows["rank_sum"])
 
 
+class Seen:
+    """Numbers of closed sets by support, and the least support that can still matter, which rises as sets come."""
+
+    def __init__(self, low: int, exceeds: Callable[[dict[int, int]], int] | None = None):
+        self.low, self.exceeds, self.held, self.due = low, exceeds, {}, 1
+
+    def add(self, sup: int) -> None:
+        self.held[sup] = self.held.get(sup, 0) + 1
+        self.due -= 1
+        if not self.due:
+            self.raised()
+
+    def raised(self) -> None:
+        """Asked again after a sixteenth more sets: a low bound that comes late only leaves more sets in."""
+        if self.exceeds:
+            self.low = max(self.low, self.exceeds(self.held))
+            self.held = {s: n for s, n in self.held.items() if s >= self.low}
+        self.due = 1 + sum(self.held.values()) // 16
+
+    def counts(self) -> dict[int, int]:
+        self.raised()
+        return self.held
+
+
 class Search:
     """Searches over one merged table."""
 
@@ -81,33 +105,24 @@ class Search:
         self.shared = self.spark.sparkContext.broadcast(matrix) if matrix else None
         self.roots = self.spark.createDataFrame([(i,) for i in range(n_items)], "item int").repartition(max(1, min(n_items, 4 * self.spark.sparkContext.defaultParallelism)), "item")
 
-    def histogram(self, exceeds: Callable[[np.ndarray], int] | None = None, top: int = 0) -> dict[int, int]:
+    def histogram(self, exceeds: Callable[[dict[int, int]], int] | None = None) -> dict[int, int]:
         """How many closed sets have each support.
 
-        exceeds(counts by support from 0 to top) gives the highest support at
-        which the number of sets is already too large, or 0; sets below it may
-        then be left out. Counts at and above the highest such support are exact.
+        exceeds(counts by support) gives the highest support at which the number
+        of sets is already too large, or 0; sets below it may then be left out.
+        Counts at and above the highest such support are exact.
         """
         if not self.shared:
-            return self._by_level(1, lambda *a: None, exceeds, top)
+            return self._by_level(1, lambda *a: None, Seen(1, exceeds))
         shared = self.shared
 
         def work(batches):
-            seen = np.zeros(top + 2, np.int64)
-            low = 1
-
-            def visit(items, sup, pos, ranks):
-                nonlocal low
-                seen[sup] += 1
-                if exceeds:
-                    low = max(low, exceeds(seen))
-
             roots = [i for b in batches for i in b.column(0).to_pylist()]
-            shared.value.search(1, roots, visit, lambda: low)
-            at = np.flatnonzero(seen)
-            at = at[at >= low]
-            if len(roots):
-                yield pa.RecordBatch.from_pydict({"sup": np.append(at, 0), "sets": np.append(seen[at], 0), "low": np.full(len(at) + 1, low)})
+            if roots:
+                seen = Seen(1, exceeds)
+                shared.value.search(1, roots, lambda items, sup, pos, ranks: seen.add(sup), lambda: seen.low)
+                sets = seen.counts()
+                yield pa.RecordBatch.from_pydict({"sup": pa.array([*sets, 0], pa.int64()), "sets": pa.array([*sets.values(), 0], pa.int64()), "low": pa.array([seen.low] * (len(sets) + 1), pa.int64())})
 
         found = self.roots.mapInArrow(work, "sup long, sets long, low long").groupBy("sup").agg(F.sum("sets").alias("sets"), F.max("low").alias("low")).collect()  # one row a support
         low = max((r["low"] for r in found), default=1)
@@ -161,8 +176,8 @@ class Search:
             row[list(r["m"])] = list(r["m"].values())
             yield r["k"], int(row[n_items]), int(row[n_items + 1]), float(row[n_items + 2]), row[:n_items].astype(np.int64)
 
-    def _by_level(self, least: int, visit: Callable, exceeds=None, top: int = 0) -> dict[int, int]:
-        seen, low = np.zeros(max(top + 2, 2), np.int64), least
+    def _by_level(self, least: int, visit: Callable, seen: Seen | None = None) -> dict[int, int]:
+        low = least
         stack = [((i,), (), i) for i in range(self.n_items - 1, -1, -1)]
         while stack:
             block, stack = stack[-BLOCK:], stack[:-BLOCK]
@@ -172,12 +187,11 @@ class Search:
                 if sup < max(1, low) or any(c < item and c not in prefix for c in closure):
                     continue
                 visit(closure, sup, pos, ranks)
-                if top:
-                    seen[sup] += 1
-                    if exceeds:
-                        low = max(low, exceeds(seen))
+                if seen:
+                    seen.add(sup)
+                    low = seen.low
                 stack += [((*closure, int(j)), tuple(closure), int(j)) for j in np.flatnonzero(counts >= low)[::-1] if j > item and j not in closure]
-        return {int(s): int(seen[s]) for s in np.flatnonzero(seen) if s >= low}
+        return seen.counts() if seen else {}
 
     def _levels(self, least: int) -> DataFrame:
         """The sets of the level-wise search, kept in blocks so that the driver holds no more than a block and its frontier."""

@@ -49,24 +49,44 @@ def cumulative(closed: DataFrame) -> DataFrame:
     return hist.withColumn("cs", F.sum("sets").over(Window.orderBy(F.desc("sup")).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def exceeding(thresholds: np.ndarray):
-    """A function from counts by support to the largest l >= 1 with CS(l) > thr(l), or 0."""
+@dataclass(frozen=True)
+class Thresholds:
+    """thr as runs of equal values: thr(l) is value[i] for l from first[i] to last[i]. Supports are as many as transactions; runs are few."""
 
-    def largest(counts: np.ndarray) -> int:
-        cs = np.cumsum(counts[::-1])[::-1][: len(thresholds)]
-        over = np.flatnonzero(cs > thresholds[: len(cs)])
-        return int(over[-1]) if len(over) else 0
+    first: np.ndarray
+    last: np.ndarray
+    value: np.ndarray
 
-    return largest
+    def exceeded(self, histogram: dict[int, int]) -> int:
+        """The largest l >= 1 with CS(l) > thr(l), or 0, from the numbers of closed sets by support."""
+        if not histogram:
+            return 0
+        sups = np.array(sorted(histogram, reverse=True), np.int64)
+        cs = np.cumsum([histogram[int(s)] for s in sups])
+        # CS falls as l grows, so CS(l) > v holds up to the support at which CS first passes v
+        at = np.searchsorted(cs, self.value, "right")
+        some = at < len(cs)
+        found = np.minimum(self.last[some], sups[at[some]])
+        return int(found[found >= self.first[some]].max(initial=0))
 
 
-def tarone_threshold(histogram: dict[int, int], thresholds: np.ndarray) -> tuple[int, int]:
-    """(least support, correction factor) from the numbers of closed sets by support."""
-    counts = np.zeros(len(thresholds), np.int64)
-    for sup, n in histogram.items():
-        counts[min(sup, len(counts) - 1)] += n
-    least = exceeding(thresholds)(counts)
-    return least, int(counts[least:].sum()) if least else 0
+def run_starts(spark: SparkSession, test: Test, top: int, alpha: float, n_items: int) -> DataFrame:
+    """x, thr where thr differs from that of x - 1, for x from 1 to top. Values are cut off at 2 ** n_items, which no number of sets reaches."""
+    most = F.lit(min(MOST_TESTS, float(1 << min(n_items, 52))))
+
+    def thr(x: Column) -> Column:
+        return F.least(F.coalesce(F.floor(F.try_divide(F.lit(alpha), test.pmin(x - 1))).cast("double"), most), most)
+
+    x = F.col("id")
+    grid = spark.range(1, top + 1).select(x.alias("x"), thr(x).alias("thr"), F.when(x > 1, thr(x - 1)).alias("before"))
+    return grid.filter("before IS NULL OR thr <> before").select("x", "thr")
+
+
+def thresholds(spark: SparkSession, test: Test, top: int, alpha: float, n_items: int) -> Thresholds:
+    """Of supports 1 to top; only the runs reach the driver."""
+    rows = sorted((r["x"], r["thr"]) for r in run_starts(spark, test, top, alpha, n_items).collect())
+    first, value = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
+    return Thresholds(first, np.append(first[1:] - 1, top)[: len(first)], value)
 
 
 @dataclass
@@ -85,7 +105,8 @@ def score(closed: DataFrame, test: Test) -> DataFrame:
     """closed with pval. Sets of equal counts share one evaluation, except where ranks tell them apart."""
     if test.uses_ranks:
         return closed.withColumn("pval", test.pvalue(F.col("sup"), F.col("pos_sup"), F.col("rank_sum")))
-    pairs = closed.select("sup", "pos_sup").distinct().withColumn("pval", test.pvalue(F.col("sup"), F.col("pos_sup")))
+    pairs = closed.select("sup", "pos_sup").distinct().repartition(closed.sparkSession.sparkContext.defaultParallelism)  # few rows, much work each
+    pairs = pairs.withColumn("pval", test.pvalue(F.col("sup"), F.col("pos_sup")))
     return closed.join(pairs, ["sup", "pos_sup"]).select("items", "n_items", "sup", "pos_sup", "rank_sum", "pval")
 
 
@@ -138,9 +159,8 @@ def mine_significant(data: Dataset, test: str = "fisher", alternative: str = "gr
     n_items = data.items.count()
     search = Search(data.merged(ranks=tester.uses_ranks), n_items, broadcast)
     top = int(data.baskets.groupBy("item_id").count().agg(F.max("count")).first()[0] or 0)
-    thresholds = np.array([r["thr"] for r in pmin_table(spark, tester, top + 1, alpha).orderBy("x").select("thr").collect()])
-    histogram = search.histogram(exceeding(thresholds), top)
-    least, _ = tarone_threshold(histogram, thresholds)
+    exceeded = thresholds(spark, tester, top, alpha, n_items).exceeded
+    least = exceeded(search.histogram(exceeded))
     closed = search.closed(max(1, least)).persist()
     factor = closed.count() if least else 0
     level = alpha / factor if factor else alpha
