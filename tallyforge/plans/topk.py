@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.dataset import Dataset
 from tallyforge.functions.stats import TESTS
 from tallyforge.operators.closed import Search
-from tallyforge.plans.significance import named, order, pmin_table, score
+from tallyforge.plans.significance import named, order, score
 
 
 def members(items: list[int], sup: int, k: int, supports: Callable[[list[tuple[int, ...]]], list[int]]) -> list[tuple[int, ...]]:
@@ -60,16 +59,16 @@ def topk_itemsets(data: Dataset, k: int = 3, test: str = "fisher", alternative:
     spark, n_items = data.items.sparkSession, data.items.count()
     search = Search(data.merged(ranks=tester.uses_ranks), n_items, broadcast)
     top = int(data.baskets.groupBy("item_id").count().agg(F.max("count")).first()[0] or 0)
-    pmin = np.array([r["pmin"] for r in pmin_table(spark, tester, top, 0.05).orderBy("x").select("pmin").collect()])
     least = max(1, top)
     while True:
         best = score(search.closed(least), tester).withColumn("ids", F.col("items")).orderBy(*order()).limit(k).persist()
         row = best.agg(F.count("*").alias("n"), F.max("pval").alias("worst")).first()
-        lower = np.flatnonzero(pmin[1:least] <= (row["worst"] if row["n"] == k else 1.0)) + 1
-        if not len(lower):
+        matter = tester.pmin(F.col("id")) <= (row["worst"] if row["n"] == k else 1.0)
+        lower = spark.range(1, least).filter(matter).agg(F.min("id").alias("min"), F.max("id").alias("max")).first()
+        if lower["min"] is None:
             break
         # too few yet: half the support; else every support that could still matter
-        least = max(1, min(int(lower.max()), least // 2)) if row["n"] < k else int(lower.min())
+        least = max(1, min(lower["max"], least // 2)) if row["n"] < k else lower["min"]
     if not closed:
         supports = _supports(search)
         rows = [(list(s), len(s), r["sup"], r["pos_sup"], r["rank_sum"], r["pval"], list(s)) for r in best.collect() for s in members(r["items"], r["sup"], k, supports)]  # k closed sets
