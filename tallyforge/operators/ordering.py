@@ -10,9 +10,10 @@ def running_total(rows: DataFrame, order: str, amount: str) -> DataFrame:
     """rows with `before`: the sum of amount over rows with a smaller `order` value (which must be distinct).
 
     Rows are dealt by range, summed in each range, and only the ranges' sums are
-    added up in one place.
+    added up in one place. The ranges come from a sample and may be merged by
+    size, so they are kept: drawn anew for the sums, they could be others.
     """
-    dealt = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).persist()
     inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn("_local", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     sums = dealt.groupBy("_part").agg(F.sum(amount).alias("_sum"))
