@@ -294,7 +294,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = folded(docs, id_col, text_col)
     classes = assigned(write_indexes(table, folder or scratch(docs.sparkSession, "index")))
     rows = table.filter("hash IS NULL").select("id", "row", "local")
-    return rows.join(classes, "local").select("id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha256", "index")
+    # the planner takes classes to be as small as the manifest that they are read from, and would broadcast a row for each text
+    return rows.join(classes.hint("merge"), "local").select("id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha256", "index")
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
