@@ -17,12 +17,15 @@ Null or blank text has no word and fingerprint zero, which links like any
 other. Null identifiers are no component's smallest. Repeated rows share their
 component; an empty table gives none.
 
-`similar_documents`, for the pipeline, links by the Jaccard similarity of shingle
-sets instead, checked set against set; see the note above SAMPLE_DOCS.
+`similar_documents`, for the pipeline, takes such links as proposals, checks them
+by the Jaccard similarity of shingle sets, and finds the pairs of that similarity
+which fingerprints miss; see the note above SAMPLE_DOCS.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -205,6 +208,8 @@ SAMPLE_DOCS, MOST_FREQUENT = 20_000, 200_000
 SKETCH_BITS = 4096
 #: Times at most that leaders are drawn.
 LEADER_TURNS = 5
+#: Parts of the sets while the pairs of short lists are checked; each two have a turn.
+SIDES = 2
 #: Bits that say which sets are wanted; with more sets than a quarter of them, all sets are dealt.
 WANTED_BITS = 1 << 26
 
@@ -361,8 +366,15 @@ def _crossed(key: np.ndarray, at: np.ndarray, root: np.ndarray, sketch: np.ndarr
             yield key[x[near]], key[y[near]]
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, few: bool = False) -> DataFrame:
-    """The (high, low) whose sets (key, hashes) have that Jaccard similarity or more, written to the shared folder. few: whether most sets are in no pair."""
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, few: bool = False, sides: int = 1) -> DataFrame:
+    """The (high, low) whose sets (key, hashes) have that Jaccard similarity or more, written to the shared folder.
+
+    few: whether most sets are in no pair. sides: into how many parts the sets go;
+    each two parts have a turn, so that fewer bytes are dealt at once.
+    """
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+    if few:
+        sets = sets.join(pairs.select(F.explode(F.array("high", "low")).alias("key")).distinct(), "key", "left_semi")  # before they are dealt
 
     def work(batches):
         for batch in slices(batches, 1000):
@@ -371,18 +383,22 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, few: bool = Fal
             union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
             yield batch.select(["high", "low"]).filter(pa.array(both >= similarity * union - 1e-9))
 
-    if few:
-        sets = sets.join(pairs.select(F.explode(F.array("high", "low")).alias("key")).distinct(), "key", "left_semi")  # before they are dealt
-    one = pairs.join(sets.select(F.col("key").alias("high"), F.col("hashes").alias("x")), "high")
-    both = one.join(sets.select(F.col("key").alias("low"), F.col("hashes").alias("y")), "low").select("high", "low", "x", "y")
-    found = stored(both.mapInArrow(work, "high long, low long"), "alike")
-    settle(pairs.sparkSession)
-    return found
+    turns = []
+    for i in range(sides):
+        for j in range(sides):
+            one = pairs.filter((part("high") == i) & (part("low") == j)).join(sets.filter(part("key") == i).select(F.col("key").alias("high"), F.col("hashes").alias("x")), "high")
+            both = one.join(sets.filter(part("key") == j).select(F.col("key").alias("low"), F.col("hashes").alias("y")), "low").select("high", "low", "x", "y")
+            turns.append(stored(both.mapInArrow(work, "high long, low long"), "alike"))
+            settle(pairs.sparkSession)
+    return reduce(DataFrame.unionByName, turns)
 
 
-def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: int = 5, seed: int = 42, most: int = 32) -> DataFrame:
+def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: int = 5, seed: int = 42, proposed: DataFrame | None = None, most: int = 32) -> DataFrame:
     """(high, low) keys of shingle sets whose Jaccard similarity is `similarity` or more, as many as join all that such pairs join. docs: text; rows: how many.
 
+    proposed: (high, low) pairs to check first, such as those of near fingerprints;
+    what they join is not compared again.
+
     Lists of up to `most` sets that share an early shingle are compared whole. In
     a larger one a few leaders are compared first, over again while that joins
     many, then pairs that would span what is left, and, unless all of those hold,
@@ -427,7 +443,8 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
     pairs = stored(dealt.filter("low IS NOT NULL").select(F.col("key").alias("high"), "low").distinct(), "pairs")
     large = dealt.filter("token IS NOT NULL").select("token", "key", "at")
 
-    wanted = stored(pairs.select(F.explode(F.array("high", "low")).alias("key")).union(large.select("key")).distinct(), "wanted")
+    proposed = pairs.limit(0) if proposed is None else proposed
+    wanted = stored(pairs.union(proposed).select(F.explode(F.array("high", "low")).alias("key")).union(large.select("key")).distinct(), "wanted")
     bits = None
     if wanted.count() * 4 <= WANTED_BITS:
         at_bit = wanted.select(F.col("key").bitwiseAND(F.lit(WANTED_BITS - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
@@ -455,7 +472,12 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
     sets = stored(sets, "sets")
     settle(spark)
     sketches = stored(sets.join(large.select("key").distinct(), "key", "left_semi").mapInArrow(sketched, "key long, sketch binary"), "sketches")
-    links = components(_alike(pairs, sets, similarity))
+    links = components(_alike(proposed, sets, similarity, sides=SIDES))
+    star = links.select(F.col("high").alias("key"), F.col("low").alias("root"))
+    for end in ("high", "low"):
+        pairs = pairs.join(star.select(F.col("key").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    pairs = stored(pairs.filter(F.coalesce("high_root", "high") != F.coalesce("low_root", "low")).select("high", "low"), "pairs")
+    links = components(links.unionByName(_alike(pairs, sets, similarity, sides=SIDES)))
     rows_left, turn, ways = large.count(), 0, ["leaders", "span", "all"]
     while rows_left and ways:
         star = links.select(F.col("high").alias("key"), F.col("low").alias("root"))
@@ -492,20 +514,37 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
     return links
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, radius: int = 2) -> DataFrame:
     """(id, fp, component_id) for each row: links join rows whose sets of shingles (each once) have a Jaccard similarity of `similarity` or more. fp is the set's number.
 
-    Every such pair is found, whatever the number of rows or the size of a group.
+    SimHash fingerprints within `radius` bits, found by the BK-trees as in
+    near_duplicates, propose the first pairs, which are checked; lists of early
+    shingles then find the rest. Every such pair is found, whatever the number of
+    rows or the size of a group.
     """
 
     def work(batches):
         for batch in slices(batches, 2000):
-            keys = [_key(_set_of(t, words, seed)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["id", "fp"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            keys = [_key(_set_of(t, words, seed)) for t in texts]
+            fps = np.array([fingerprint(shingle_hashes(t, 3, seed)) if t else 0 for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(fps.view(np.int64))], ["id", "fp", "simhash"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = stored(rows.mapInArrow(work, "id long, fp long"), "keys")
-    return _components(table, similar_links(rows.select("text"), table.count(), similarity, words, seed))
+    table = stored(rows.mapInArrow(work, "id long, fp long, simhash long"), "keys")
+    found = similar_links(rows.select("text"), table.count(), similarity, words, seed, _proposed(table, radius))
+    return _components(table.select("id", "fp"), found)
+
+
+def _proposed(table: DataFrame, radius: int) -> DataFrame:
+    """(high, low) set numbers of rows (fp, simhash) whose fingerprints are equal or linked: each row's set with its fingerprint's least, and those of linked fingerprints."""
+    of = stored(table.groupBy("simhash").agg(F.min("fp").alias("least")), "distinct")
+    own = table.select("fp", "simhash").distinct().join(of, "simhash").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    near = links(of.select(F.col("simhash").alias("fp")), radius)
+    for end, name in (("high", "a"), ("low", "b")):
+        near = near.join(of.select(F.col("simhash").alias(end), F.col("least").alias(name)), end)
+    both = own.unionByName(near.select("a", "b")).filter("a <> b")
+    return stored(both.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "proposed")
 
 
 def without_near_duplicates(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
