@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -15,7 +16,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_scratch: list[str] = []
+
+
+class _Given(threading.local):
+    """Paths that scratch() has given out in this thread, so that no other thread's work is released."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_given = _Given()
+_tidying, _lock = [0, None], threading.Lock()
+#: Spark's switch: an execution's shuffle files go when it ends, not when the driver's JVM happens to collect its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -46,25 +59,25 @@ def unique() -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     path = f"{shared_root(spark)}/{name}-{unique()}"
-    _scratch.append(path)
+    _given.paths.append(path)
     return path
 
 
 def own(path: str) -> None:
     """Let release() delete a path too."""
-    _scratch.append(path)
+    _given.paths.append(path)
 
 
 def mark() -> int:
     """A point in time for release()."""
-    return len(_scratch)
+    return len(_given.paths)
 
 
 def release(spark: SparkSession, since: int) -> None:
-    """Delete every path that scratch() has given out since a mark. Results that read them must be written before."""
+    """Delete every path that scratch() has given out in this thread since a mark. Results that read them must be written before."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_scratch) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    while len(_given.paths) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_given.paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -78,16 +91,38 @@ def workspace(spark: SparkSession):
         release(spark, since)
 
 
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Executions begun inside delete their shuffle files at their end; the session's own setting is put back."""
+    with _lock:
+        if not _tidying[0]:
+            _tidying[1] = spark.conf.get(CLEANUP, None)
+        _tidying[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _tidying[0] -= 1
+            if not _tidying[0]:
+                spark.conf.unset(CLEANUP) if _tidying[1] is None else spark.conf.set(CLEANUP, _tidying[1])
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor takes nothing with it."""
+    """Write df to the shared folder and read it back: lineage ends there, a lost executor takes nothing with it, and the shuffle files of the steps before go."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has ended, which it does once the driver's JVM collects their plans."""
-    spark._jvm.System.gc()
+def last(df: DataFrame, name: str, since: int) -> DataFrame:
+    """stored() for a result: what scratch() has given out since a mark, which nothing else may read, is deleted."""
+    kept = stored(df, name)
+    path = _given.paths.pop()
+    release(df.sparkSession, since)
+    own(path)
+    return kept
 
 
 def filesystem(uri: str):

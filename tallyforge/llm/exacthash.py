@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import filesystem, scratch, slices, stored, task_id
+from tallyforge.llm.common import filesystem, last, mark, scratch, slices, stored, task_id
 
 SPACE = b" \t\n\v\f\r"
 MAGIC = b"TFEXTH01"
@@ -304,7 +304,8 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Where identifiers repeat, rows are told apart by their text as well, and of
     rows alike in both one stays.
     """
-    found = stored(duplicates(docs, id_col, text_col), "decided")
+    since = mark()
+    found = last(duplicates(docs, id_col, text_col).select("id", "kept"), "decided", since)
     kept = found.filter("kept").select(F.col("id").alias("__id"))
     if found.filter("id IS NULL").limit(1).count() or found.groupBy("id").count().filter("count > 1").limit(1).count():
         return _told_apart(docs, id_col, text_col)
@@ -316,7 +317,8 @@ def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copy = stored(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
     text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     # the operator's order, with the original identifier as the second key, comes from a rank over distinct classes
-    best = duplicates(copy.select("n", text.alias("text")), "n", "text").select(F.col("id").alias("n"), "sha256")
+    since = mark()
+    best = last(duplicates(copy.select("n", text.alias("text")), "n", "text").select(F.col("id").alias("n"), "sha256"), "best", since)
     ranked = copy.select("n", F.col("row")[id_col].cast("long").alias("id"), F.char_length(text).alias("points")).join(best, "n")
     order = F.struct(-F.col("points"), F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("n"))
     stay = ranked.groupBy("sha256").agg(F.min(order).alias("first")).select(F.col("first.n").alias("n"))

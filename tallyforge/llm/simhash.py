@@ -24,6 +24,7 @@ which fingerprints miss; see the note above SAMPLE_DOCS.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import settle, slices, stored
+from tallyforge.llm.common import last, mark, slices, stored
 from tallyforge.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -208,7 +209,7 @@ SAMPLE_DOCS, MOST_FREQUENT = 20_000, 200_000
 SKETCH_BITS = 4096
 #: Times at most that leaders are drawn.
 LEADER_TURNS = 5
-#: Parts of the sets while the pairs of short lists are checked; each two have a turn.
+#: Parts of the sets, at least, while the pairs of short lists are checked; each two have a turn.
 SIDES = 2
 #: Bits that say which sets are wanted; with more sets than a quarter of them, all sets are dealt.
 WANTED_BITS = 1 << 26
@@ -245,7 +246,8 @@ def _frequent(texts: DataFrame, rows: int, words: int, seed: int) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
     drawn = texts.filter(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_DOCS / max(1, rows)))).select("text")
-    counts = drawn.mapInArrow(work, "h long").groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).toPandas()
+    several = stored(drawn.mapInArrow(work, "h long").groupBy("h").count().filter("count >= 3"), "counts")
+    counts = several.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).toPandas()
     h, n = counts["h"].to_numpy(np.int64).view(np.uint64), counts["count"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
@@ -369,9 +371,13 @@ def _crossed(key: np.ndarray, at: np.ndarray, root: np.ndarray, sketch: np.ndarr
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, few: bool = False, sides: int = 1) -> DataFrame:
     """The (high, low) whose sets (key, hashes) have that Jaccard similarity or more, written to the shared folder.
 
-    few: whether most sets are in no pair. sides: into how many parts the sets go;
-    each two parts have a turn, so that fewer bytes are dealt at once.
+    few: whether most sets are in no pair. sides: into how many parts the sets go,
+    if not few at least; each two parts have a turn, so that fewer bytes are dealt
+    at once. A turn copies a set for each of its pairs: where sets are in many
+    pairs there are more turns, so that one copies no more than all sets hold.
     """
+    if not few:
+        sides = max(sides, math.ceil(math.sqrt(pairs.count() / max(1, sets.count()))))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
     if few:
         sets = sets.join(pairs.select(F.explode(F.array("high", "low")).alias("key")).distinct(), "key", "left_semi")  # before they are dealt
@@ -389,7 +395,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, few: bool = Fal
             one = pairs.filter((part("high") == i) & (part("low") == j)).join(sets.filter(part("key") == i).select(F.col("key").alias("high"), F.col("hashes").alias("x")), "high")
             both = one.join(sets.filter(part("key") == j).select(F.col("key").alias("low"), F.col("hashes").alias("y")), "low").select("high", "low", "x", "y")
             turns.append(stored(both.mapInArrow(work, "high long, low long"), "alike"))
-            settle(pairs.sparkSession)
     return reduce(DataFrame.unionByName, turns)
 
 
@@ -439,7 +444,6 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
 
     postings = docs.select("text").mapInArrow(deal, "token long, key long, at long")
     dealt = stored(postings.repartition("token").sortWithinPartitions("token").mapInArrow(start, "key long, low long, token long, at long"), "lists")
-    settle(spark)
     pairs = stored(dealt.filter("low IS NOT NULL").select(F.col("key").alias("high"), "low").distinct(), "pairs")
     large = dealt.filter("token IS NOT NULL").select("token", "key", "at")
 
@@ -470,7 +474,6 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
 
     sets = docs.select("text").mapInArrow(sets_of, "key long, hashes binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
     sets = stored(sets, "sets")
-    settle(spark)
     sketches = stored(sets.join(large.select("key").distinct(), "key", "left_semi").mapInArrow(sketched, "key long, sketch binary"), "sketches")
     links = components(_alike(proposed, sets, similarity, sides=SIDES))
     star = links.select(F.col("high").alias("key"), F.col("low").alias("root"))
@@ -532,8 +535,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "d
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     table = stored(rows.mapInArrow(work, "id long, fp long, simhash long"), "keys")
-    found = similar_links(rows.select("text"), table.count(), similarity, words, seed, _proposed(table, radius))
-    return _components(table.select("id", "fp"), found)
+    proposed, since = _proposed(table, radius), mark()
+    found = similar_links(rows.select("text"), table.count(), similarity, words, seed, proposed)
+    return last(_components(table.select("id", "fp"), found), "similar", since)
 
 
 def _proposed(table: DataFrame, radius: int) -> DataFrame:
