@@ -398,6 +398,45 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, few: bool = Fal
     return reduce(DataFrame.unionByName, turns)
 
 
+def _made(docs: DataFrame, wanted: DataFrame, make, column: str, words: int, seed: int) -> DataFrame:
+    """(key, n, `column`) of each wanted set: its number of shingles, and `make` of them."""
+    spark, bits = docs.sparkSession, None
+    if wanted.count() * 4 <= WANTED_BITS:
+        at_bit = wanted.select(F.col("key").bitwiseAND(F.lit(WANTED_BITS - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+        field = np.zeros(WANTED_BITS >> 3, np.uint8)
+        np.bitwise_or.at(field, at_bit >> 3, (1 << (at_bit & 7)).astype(np.uint8))
+        bits = spark.sparkContext.broadcast(field)
+
+    def work(batches):
+        for batch in slices(batches, 500):
+            keys, sizes, found = [], [], []
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                h = _set_of(t, words, seed)
+                key = _key(h)
+                bit = key & (WANTED_BITS - 1)
+                if len(h) and (bits is None or bits.value[bit >> 3] >> (bit & 7) & 1):
+                    keys.append(key)
+                    sizes.append(len(h))
+                    found.append(make(h))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["key", "n", column])
+
+    rows = docs.select("text").mapInArrow(work, f"key long, n long, {column} binary").join(wanted, "key", "left_semi")
+    return stored(rows.groupBy("key").agg(F.first("n").alias("n"), F.first(column).alias(column)), column)
+
+
+def _roomy(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The (high, low) whose sketches (key, n, sketch) leave room for that similarity: a set's sketch is much shorter than a set, and few other pairs are checked."""
+
+    def work(batches):
+        for batch in slices(batches, 2000):
+            near = _close(batch.column(2).to_numpy() << 32, _rows(batch.column(3)), batch.column(4).to_numpy() << 32, _rows(batch.column(5)), similarity)
+            yield batch.select(["high", "low"]).filter(pa.array(near))
+
+    for end, n, sketch in (("high", "n", "x"), ("low", "m", "y")):
+        pairs = pairs.join(sketches.select(F.col("key").alias(end), F.col("n").alias(n), F.col("sketch").alias(sketch)), end)
+    return pairs.select("high", "low", "n", "x", "m", "y").mapInArrow(work, "high long, low long")
+
+
 def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: int = 5, seed: int = 42, proposed: DataFrame | None = None, most: int = 32) -> DataFrame:
     """(high, low) keys of shingle sets whose Jaccard similarity is `similarity` or more, as many as join all that such pairs join. docs: text; rows: how many.
 
@@ -448,33 +487,12 @@ def similar_links(docs: DataFrame, rows: int, similarity: float = 0.8, words: in
     large = dealt.filter("token IS NOT NULL").select("token", "key", "at")
 
     proposed = pairs.limit(0) if proposed is None else proposed
-    wanted = stored(pairs.union(proposed).select(F.explode(F.array("high", "low")).alias("key")).union(large.select("key")).distinct(), "wanted")
-    bits = None
-    if wanted.count() * 4 <= WANTED_BITS:
-        at_bit = wanted.select(F.col("key").bitwiseAND(F.lit(WANTED_BITS - 1)).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-        field = np.zeros(WANTED_BITS >> 3, np.uint8)
-        np.bitwise_or.at(field, at_bit >> 3, (1 << (at_bit & 7)).astype(np.uint8))
-        bits = spark.sparkContext.broadcast(field)
-
-    def sets_of(batches):
-        for batch in slices(batches, 500):
-            keys, found = [], []
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                h = _set_of(t, words, seed)
-                key = _key(h)
-                bit = key & (WANTED_BITS - 1)
-                if len(h) and (bits is None or bits.value[bit >> 3] >> (bit & 7) & 1):
-                    keys.append(key)
-                    found.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "hashes"])
-
-    def sketched(batches):
-        for batch in slices(batches, 1000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_sketch(np.frombuffer(h, np.uint64)) for h in batch.column(1).to_pylist()], pa.binary())], ["key", "sketch"])
-
-    sets = docs.select("text").mapInArrow(sets_of, "key long, hashes binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
-    sets = stored(sets, "sets")
-    sketches = stored(sets.join(large.select("key").distinct(), "key", "left_semi").mapInArrow(sketched, "key long, sketch binary"), "sketches")
+    ends = lambda found: found.select(F.explode(F.array("high", "low")).alias("key"))
+    wanted = stored(ends(pairs).union(ends(proposed)).union(large.select("key")).distinct(), "wanted")
+    sketches = _made(docs, wanted, _sketch, "sketch", words, seed)
+    pairs, proposed = (stored(_roomy(found, sketches, similarity), "pairs") for found in (pairs, proposed))
+    wanted = stored(ends(pairs).union(ends(proposed)).union(large.select("key")).distinct(), "wanted")
+    sets = _made(docs, wanted, np.ndarray.tobytes, "hashes", words, seed)
     links = components(_alike(proposed, sets, similarity, sides=SIDES))
     star = links.select(F.col("high").alias("key"), F.col("low").alias("root"))
     for end in ("high", "low"):

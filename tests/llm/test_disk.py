@@ -54,3 +54,32 @@ def test_release_leaves_other_threads_tables(spark):
     thread.join()
     common.release(spark, since)
     assert held[0].count() == 5
+
+
+def test_pairs_that_sketches_rule_out_deal_no_sets(spark, monkeypatch):
+    apart = [" ".join(f"x{i}y{j}" for j in range(60)) for i in range(10)]
+    alike = [" ".join(f"w{j}" for j in range(60)), " ".join(f"w{j}" for j in range(61))]
+    docs = spark.createDataFrame([(t,) for t in apart + alike], "text string")
+    keys = [simhash._key(simhash._set_of(t.encode(), 5, 42)) for t in apart + alike]
+    proposed = spark.createDataFrame([(max(x), min(x)) for x in zip(keys, keys[1:])], "high long, low long")
+    seen, made = {}, simhash._made
+    monkeypatch.setattr(simhash, "_made", lambda *a: seen.setdefault(a[3], made(*a)))
+    found = simhash.similar_links(docs, 12, proposed=proposed)
+    assert [set(r) for r in found.collect()] == [set(keys[10:])]
+    assert seen["sketch"].count() == 12 and {r.key for r in seen["hashes"].collect()} == set(keys[10:])
+
+
+def test_roomy_keeps_every_alike_pair(spark):
+    import numpy as np
+
+    rng, sets = np.random.default_rng(5), []
+    for n in (1, 5, 40, 900, 20_000):
+        base = np.unique(rng.integers(0, 1 << 63, 2 * n, np.int64).astype(np.uint64))
+        sets += [base[:n], base[n // 9 : n], base[n // 5 : n], base[n // 2 : n + n // 2]]
+    rows = [(i, len(h), bytearray(simhash._sketch(h))) for i, h in enumerate(sets) if len(h)]
+    sketches = spark.createDataFrame(rows, "key long, n long, sketch binary")
+    pairs = [(a, b) for a, *_ in rows for b, *_ in rows if a > b]
+    left = {tuple(r) for r in simhash._roomy(spark.createDataFrame(pairs, "high long, low long"), sketches, 0.8).collect()}
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in pairs}
+    alike = {(a, b) for (a, b), k in both.items() if k >= 0.8 * (len(sets[a]) + len(sets[b]) - k) - 1e-9}
+    assert alike and alike <= left and len(left) < len(pairs) / 2
